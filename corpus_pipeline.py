@@ -18,7 +18,7 @@ from melisma.session import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier distance keep."""
-    return quality.judge(quality.score(docs)).where("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

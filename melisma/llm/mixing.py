@@ -10,7 +10,8 @@ back from a written table, which Catalyst broadcasts below its size threshold an
 
 Defined results: a null source is a source of its own and ordered last; a null or blank text has size 0; sources
 of size 0 get target and rate 0; rows equal in id and text share their decision; an empty input gives an empty
-output; columns of the input named like the new ones are replaced.
+output; a plan replaces columns named like its own, the mixed
+corpus keeps every column of the input.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from melisma.llm.text import hex_long, null_key, words
+from melisma.llm.text import hex_long, null_key, set_aside, words
 from melisma.session import written
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -72,6 +73,6 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: floa
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each document as many times as its plan says."""
-    planned = plan_mix(docs, weights, max_rate, seed)
+    planned = plan_mix(set_aside(docs, ["doc_id", "text", "source"]), weights, max_rate, seed)
     kept = planned.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return kept.select(*[c for c in docs.columns])
+    return kept.select("_row.*")

@@ -21,7 +21,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melisma.llm.text import SPACES, null_key, words
+from melisma.llm.text import SPACES, null_key, set_aside, words
 from melisma.session import written
 
 SHARE = 0.75
@@ -175,3 +175,8 @@ def judge(scored: DataFrame, tail: float = TAIL) -> DataFrame:
     limit = chi2_quantile(1 - tail, len(FIELDS)) ** 0.5
     far = far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
     return far.drop("_group", "start", "rows", "logdet", *FIELDS, *[f"m{i}" for i in range(len(FIELDS))], *[f"l{i}{j}" for i, j in _pairs()])
+
+
+def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The kept documents, with all their columns."""
+    return judge(score(set_aside(docs, ["text", "lang", "source"])), tail).where("kept").select("_row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word separators: space and the controls from tab to carriage return.
@@ -25,3 +25,8 @@ def hex_long(digest: Column, digits: int = 12) -> Column:
 def null_key(col: Column) -> Column:
     """A string key that tells null from every value, for grouping and joining."""
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), col.cast("string")))
+
+
+def set_aside(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns, and the whole row as ``_row``, so that no other column can clash with new ones."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
