@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -35,11 +37,14 @@ from melisma.llm.memo import Memo
 from melisma.session import new_path, ship_package, written
 
 LENGTH = 2048
-CACHE = 150_000
+CACHE = 400_000
 #: Sequences in a record batch, and documents encoded at once.
 BATCH_SEQUENCES, BATCH_DOCS = 64, 256
 #: Pre-tokens never span from a character that isn't white space to a following space or line end.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: The same for texts without other white space.
+ODD_SPACE, PLAIN_SEGMENT = re.compile(r"[^\S \n]"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+MARKS = ".,;:!?*#$%&|"
 MANIFEST = "part long, sequences string, documents string, n_ids long, n_docs long"
 
 
@@ -52,15 +57,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if sys.byteorder != "little":
+            raise OSError("the files hold little-endian numbers")
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
-        self.known = Memo(self._encode, CACHE)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # How a byte-level pre-tokenizer shows bytes; other pre-tokenizers split every segment themselves.
+        shows = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytewise = [p for p, _ in shows(" a\u00e9.")] == ["\u0120a\u00c3\u00a9", "."]
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(odd)}
+        self.known, self.pieces = Memo(self._encode, CACHE), Memo(self._piece, CACHE)
 
     def _encode(self, segment: str) -> bytes:
-        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, self.dtype).tobytes()
+        """A segment's ids, by the library's pre-tokenizer and model; added tokens by its whole pipeline."""
+        if any(t in segment for t in self.added):
+            return self._packed(self.tokenizer.encode(segment, add_special_tokens=False).ids)
+        return b"".join([self.pieces[p] for p in self._pre_tokens(segment)])
+
+    def _pre_tokens(self, segment: str) -> list[str]:
+        """Letters after a space, and marks behind them, are seen at once; the library splits all else."""
+        head = segment.rstrip(MARKS)
+        if self.bytewise and head[:1] == " " and head[1:].isalpha():
+            tail = segment[len(head) :]
+            word = head.encode().decode("latin-1").translate(self.shown)
+            return [word, tail] if tail else [word]
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(segment)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece)])
 
     def ids(self, text: str) -> bytes:
         known = self.known
-        return b"".join([known[s] for s in SEGMENT.findall(text)])
+        return b"".join([known[s] for s in (SEGMENT if ODD_SPACE.search(text) else PLAIN_SEGMENT).findall(text)])
 
 
 _READY: dict[str, Encoder] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from melisma.llm.memo import Memo
 from melisma.session import ship_package
 
-CACHE = 150_000
+CACHE = 300_000
 PAIRS = 300_000
 #: Characters of text in one output batch.
 BATCH_CHARS = 2_000_000
