@@ -34,7 +34,10 @@ CACHE = 300_000
 PAIRS = 300_000
 #: Characters of text in one output batch.
 BATCH_CHARS = 2_000_000
+#: Below every score.
+NONE = -1e30
 SPACE = "▁"
+MARKS = ".,;:!?*#$%&|"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -47,52 +50,66 @@ class Segments:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = range(model.get_piece_size())
         self.score = {model.id_to_piece(i): model.get_score(i) for i in pieces if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.longest = max(map(len, self.score))
+        self.heads = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
         self.glued = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.whole, self.runs, self.fits = Memo(self._whole, CACHE), Memo(self._run, CACHE), Memo(self._fits, PAIRS)
 
-    def merged(self, text: str) -> list[str]:
-        """Merge the best-scored adjacent pair, leftmost first, until none is in the vocabulary."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = max((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == -np.inf:
-                break
-            parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
-        return parts
-
     def _fits(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1]) == [*pair]
+        """Whether merging the joined characters, best score first and leftmost, never joins across the border."""
+        left, right = pair
+        if left[-1] + right[0] not in self.glued:
+            return True
+        score, parts, border = self.score, [*left, *right], len(left) - 1
+        scores = [score.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > NONE:
+            i = scores.index(best)
+            if i == border:
+                return False
+            border -= i < border
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score.get(parts[i - 1] + parts[i], NONE)
+            if i < len(scores):
+                scores[i] = score.get(parts[i] + parts[i + 1], NONE)
+        return len(parts) == 2
 
     def prefixes(self, segment: str) -> list[int]:
-        """Token count of every prefix of length 1, 2, ..."""
-        last, count = [""], [0]
-        score, longest, fits = self.score, self.longest, self.fits
-        for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - longest), end):
+        """Token count of every prefix of length 1, 2, ...
+
+        Starts rise, so of the compatible pieces that end at a place the longest is met first.
+        """
+        size = len(segment)
+        last, count = [""] * (size + 1), [0] * (size + 1)
+        score, heads, fits = self.score, self.heads, self.fits
+        for start in range(size):
+            before = last[start]
+            if start and not before:  # a character outside the vocabulary falls back to its bytes
+                before = last[start] = segment[start - 1]
+                count[start] = count[start - 1] + len(before.encode())
+            for end in range(start + 1, size + 1):
                 piece = segment[start:end]
-                if piece in score and (not start or fits[last[start], piece]):
-                    last.append(piece)
-                    count.append(count[start] + 1)
+                if piece not in heads:
                     break
-            else:  # a character outside the vocabulary falls back to its bytes
-                last.append(segment[end - 1])
-                count.append(count[end - 1] + len(segment[end - 1].encode()))
+                if not last[end] and piece in score and (not start or fits[before, piece]):
+                    last[end] = piece
+                    count[end] = count[start] + 1
+        if not last[size]:
+            count[size] = count[size - 1] + len(segment[-1].encode())
         return count[1:]
 
-    def _run(self, run: str) -> np.ndarray:
-        return np.array(self.prefixes(run), "<u4")
+    def _run(self, run: str) -> bytes:
+        return np.array(self.prefixes(run), "<u4").tobytes()
 
     def _whole(self, segment: str) -> bytes:
-        """No token crosses two characters that no piece has side by side: runs between those are counted alone."""
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.glued]
-        if not cuts:
-            return self.runs[segment].tobytes()
-        found, before = [], 0
-        for start, end in zip([0, *cuts], [*cuts, len(segment)]):
-            found.append(self.runs[segment[start:end]] + np.uint32(before))
-            before = int(found[-1][-1])
-        return np.concatenate(found).astype("<u4").tobytes()
+        """Marks behind a word are counted alone if no piece has the word's last character and the mark side by side."""
+        head = segment.rstrip(MARKS)
+        cut = len(head)
+        if not head or cut == len(segment) or segment[cut - 1 : cut + 1] in self.glued:
+            return self.runs[segment]
+        first, rest = self.runs[head], self.runs[segment[cut:]]
+        before = np.frombuffer(first, "<u4", 1, len(first) - 4)
+        return first + (np.frombuffer(rest, "<u4") + before).astype("<u4").tobytes()
 
     def of_text(self, text: str) -> np.ndarray:
         """Counts at prefix lengths 0 ... len(text)."""
