@@ -16,6 +16,7 @@ rows are judged alike; an empty input gives an empty output; columns named like
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,7 @@ def _by_value(windows: Column) -> Column:
 
 def base_stats(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and n_lines, n_capitals."""
-    plain = docs.drop(*STATS, "n_lines", "n_capitals")
+    plain = docs.drop(*STATS, "n_lines", "n_capitals", "_seen")
     text = F.coalesce(plain["text"], F.lit(""))
     d = plain.withColumn("_w", words(text))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -72,6 +73,9 @@ def base_stats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.size(cover), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_capitals"),
+        # Filters that name this column stay above this projection; below it they would repeat the statistics
+        # inside each other's lambdas.
+        F.monotonically_increasing_id().alias("_seen"),
     )
 
 
@@ -164,19 +168,20 @@ def score(docs: DataFrame) -> DataFrame:
     return stats.withColumn("base_failed", failed).withColumn("_group", F.concat_ws("/", null_key(F.col("lang")), null_key(F.col("source"))))
 
 
-def judge(scored: DataFrame, tail: float = TAIL) -> DataFrame:
+def judge(scored: DataFrame, tail: float = TAIL, keep: Sequence[str] = ()) -> DataFrame:
     """``scored`` (from :func:`score`) with distance (null if its group has no estimate) and kept.
 
     ``scored`` is read three times; where its texts aren't needed, drop them and pass a written table.
     """
-    vectors = written(scored.where("NOT base_failed").select(F.col("_group").alias("group"), *FIELDS), "quality-vectors")
+    vectors = written(scored.where("NOT base_failed AND _seen >= 0").select(F.col("_group").alias("group"), *FIELDS), "quality-vectors")
     params = written(estimate_groups(vectors), "mcd").withColumnRenamed("group", "_group")
     far = scored.join(params, "_group", "left").withColumn("distance", F.sqrt(_distance()))
     limit = chi2_quantile(1 - tail, len(FIELDS)) ** 0.5
     far = far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
-    return far.drop("_group", "start", "rows", "logdet", *FIELDS, *[f"m{i}" for i in range(len(FIELDS))], *[f"l{i}{j}" for i, j in _pairs()])
+    used = ["_group", "_seen", "start", "rows", "logdet", *FIELDS, *[f"m{i}" for i in range(len(FIELDS))], *[f"l{i}{j}" for i, j in _pairs()]]
+    return far.drop(*[c for c in used if c not in keep])
 
 
 def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The kept documents, with all their columns."""
-    return judge(score(set_aside(docs, ["text", "lang", "source"])), tail).where("kept").select("_row.*")
+    return judge(score(set_aside(docs, ["text", "lang", "source"])), tail, ["_seen"]).where("kept AND _seen >= 0").select("_row.*")
