@@ -44,14 +44,17 @@ UNITS = frozenset("mm cm m km inch inches ft feet foot yard yards mile miles mg
 SCHEMA = "key string, width long, hash long, pos long, slots array<string>"
 
 
-def _template(word: str) -> tuple[int, bool]:
-    """Hash of a word's template form, and whether it is literal."""
+def _template(word: str) -> int:
+    """Hash of a word's template form; its lowest bit says whether the word is literal."""
     if word[0].isdigit():
-        return xxhash.xxh64_intdigest(b"<number>"), False
-    if word[0].isupper():
-        return xxhash.xxh64_intdigest(b"<name>"), False
-    low = word.lower()
-    return (xxhash.xxh64_intdigest(b"<unit>"), False) if low in UNITS else (xxhash.xxh64_intdigest(low.encode()), True)
+        form, literal = "<number>", 0
+    elif word[0].isupper():
+        form, literal = "<name>", 0
+    else:
+        form, literal = word.lower(), 1
+        if form in UNITS:
+            form, literal = "<unit>", 0
+    return xxhash.xxh64_intdigest(form.encode()) & (2**64 - 2) | literal
 
 
 _TEMPLATES = Memo(_template, CACHE)
@@ -64,9 +67,8 @@ def windows(text: str, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.n
     n = min(width, len(found))
     if n < MIN_LITERAL:
         return found, np.zeros(0, np.uint64), np.zeros(0, bool), n
-    known = [_TEMPLATES[w] for w in found]
-    code = np.array([k[0] for k in known], np.uint64)
-    literal = np.concatenate([[0], np.cumsum([k[1] for k in known])])
+    code = np.array([_TEMPLATES[w] for w in found], np.uint64)
+    literal = np.concatenate([[0], np.cumsum((code & np.uint64(1)).astype(np.int64))])
     hashed = np.full(len(found) - n + 1, n, np.uint64)
     for k in range(n):
         hashed = (hashed ^ code[k : len(code) - n + 1 + k]) * _STEP
@@ -76,7 +78,7 @@ def windows(text: str, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.n
 
 def slots(words: list[str]) -> list[str]:
     """The original words behind placeholders; literal words are left out."""
-    return [w for w in words if not _TEMPLATES[w][1]]
+    return [w for w in words if not _TEMPLATES[w] & 1]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
