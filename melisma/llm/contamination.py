@@ -59,6 +59,17 @@ def _template(word: str) -> int:
 
 _TEMPLATES = Memo(_template, CACHE)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ZERO = np.zeros(1, np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, modulo 2**64, of an odd number and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        base = int(_STEP)
+        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 2**64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def windows(text: str, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray, int]:
@@ -69,10 +80,12 @@ def windows(text: str, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.n
         return found, np.zeros(0, np.uint64), np.zeros(0, bool), n
     code = np.array([_TEMPLATES[w] for w in found], np.uint64)
     literal = np.concatenate([[0], np.cumsum((code & np.uint64(1)).astype(np.int64))])
-    hashed = np.full(len(found) - n + 1, n, np.uint64)
-    for k in range(n):
-        hashed = (hashed ^ code[k : len(code) - n + 1 + k]) * _STEP
-        hashed ^= hashed >> np.uint64(29)
+    # Sums of codes times powers of an odd number; a difference of two, taken back by the inverse power, is a window.
+    ahead, back = _powers(len(found))
+    sums = np.concatenate([_ZERO, np.cumsum(code * ahead)])
+    hashed = (sums[n:] - sums[:-n]) * back[: len(found) - n + 1] + np.uint64(n)
+    hashed = (hashed ^ (hashed >> np.uint64(29))) * _STEP
+    hashed ^= hashed >> np.uint64(32)
     return found, hashed, literal[n:] - literal[:-n] >= MIN_LITERAL, n
 
 
