@@ -5,13 +5,17 @@ determinant is estimated by concentration steps from two starts (median and scal
 covariance of all rows): each step keeps the ``SHARE`` of rows that are nearest by Mahalanobis distance and
 re-estimates from them. The start whose final determinant is smaller wins. Rows beyond ``cutoff`` are rejected.
 
+A group with fewer than ``MIN_ROWS`` rows that pass the base rules is judged by the estimate of its language, made
+of all rows of that language, and where these are too few as well by that of the whole corpus. Below ``MIN_ROWS``
+rows in all, the floors' squares grow by ``MIN_ROWS`` over the rows, since so few show little of the spread.
+
 Only sums, counts and approximate quantiles by group are shuffled, all with partial aggregation, so a group that
 holds most rows is no single task. Group estimates are written tables; Catalyst broadcasts them below its size
 threshold and otherwise shuffles, with skewed groups split by adaptive execution.
 
 Defined results: a null text has no words and fails the base rules; null languages or sources form groups of
-their own; groups with fewer than ``MIN_ROWS`` rows that pass the base rules reject nobody by distance; repeated
-rows are judged alike; an empty input gives an empty output; columns named like the new ones are replaced.
+their own; if no row at all passes the base rules, no distance is known (null); repeated rows are judged alike; an
+empty input gives an empty output; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -95,13 +99,21 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(FIELDS)) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Mean, covariance (times ``factor``, with the floors' squares added) and count by group and start."""
+def _floor(i: int, rows: Column) -> Column:
+    """The square of a statistic's floor, for an estimate from so many rows."""
+    return F.lit(FLOORS[FIELDS[i]] ** 2) * F.greatest(F.lit(1.0), F.lit(float(MIN_ROWS)) / rows)
+
+
+def _moments(rows: DataFrame, factor: float, share: float) -> DataFrame:
+    """Mean, covariance (times ``factor``, with the floors' squares added) and count by group and start.
+
+    ``rows`` are this share of their group.
+    """
     sums = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FIELDS)]
     products = [F.avg(F.col(FIELDS[i]) * F.col(FIELDS[j])).alias(f"p{i}{j}") for i, j in _pairs()]
     got = rows.groupBy("group", "start").agg(F.count(F.lit(1)).alias("rows"), *sums, *products)
     cov = [
-        ((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(factor) + F.lit(FLOORS[FIELDS[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
+        ((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(factor) + (_floor(i, F.col("rows") / F.lit(share)) if i == j else F.lit(0.0))).alias(f"c{i}{j}")
         for i, j in _pairs()
     ]
     return got.select("group", "start", "rows", *[f"m{i}" for i in range(len(FIELDS))], *cov)
@@ -136,8 +148,31 @@ def _distance() -> Column:
     return total
 
 
-def estimate_groups(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(group, *FIELDS) rows to one robust estimate for each group with at least ``min_rows`` rows."""
+def pools(vectors: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(group, lang, base_failed) rows to group, lang, own, by_lang and pool: whose estimate judges each group.
+
+    own: its own rows that pass the base rules are enough; by_lang: some group of this language needs the language's.
+    """
+    groups = written(vectors.groupBy("group", "lang").agg(F.count_if(~F.col("base_failed")).alias("n")), "quality-groups")
+    own = F.col("n") >= min_rows
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.max(~own).alias("small"))
+    enough = F.col("lang_n") >= min_rows
+    pool = F.when(own, F.concat(F.lit("group/"), "group")).when(enough, F.concat(F.lit("lang/"), "lang")).otherwise(F.lit("corpus"))
+    return groups.join(langs, "lang").select("group", "lang", own.alias("own"), (enough & F.col("small")).alias("by_lang"), pool.alias("pool"))
+
+
+def pooled(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows (group, *FIELDS) that pass the base rules, once for each pool of ``chosen`` that they feed."""
+    corpus = F.lit(not chosen.where("pool = 'corpus'").isEmpty())
+    feeds = F.array_compact(F.array(
+        F.when(F.col("own"), F.concat(F.lit("group/"), "group")), F.when(F.col("by_lang"), F.concat(F.lit("lang/"), "lang")), F.when(corpus, F.lit("corpus"))
+    ))
+    met = vectors.where("NOT base_failed").drop("lang").join(chosen, "group")
+    return met.select(F.explode(feeds).alias("pool"), *FIELDS).withColumnRenamed("pool", "group")
+
+
+def estimate_groups(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """(group, *FIELDS) rows to one robust estimate for each group."""
     d = len(FIELDS)
     both = vectors.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     middle = vectors.groupBy("group").agg(*[F.percentile_approx(f, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, f in enumerate(FIELDS)])
@@ -146,39 +181,43 @@ def estimate_groups(vectors: DataFrame, share: float = SHARE, steps: int = STEPS
         F.count(F.lit(1)).alias("rows"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(d)],
         *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), F.lit(0.5), F.lit(1000)).alias(f"s{i}") for i, f in enumerate(FIELDS)],
     )
-    scale = lambda i, j: (F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + FLOORS[FIELDS[i]] ** 2) if i == j else F.lit(0.0)
+    scale = lambda i, j: (F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + _floor(i, F.col("rows"))) if i == j else F.lit(0.0)
     robust = spread.select("group", F.lit(0).alias("start"), "rows", *[f"m{i}" for i in range(d)], *[scale(i, j).alias(f"c{i}{j}") for i, j in _pairs()])
-    plain = _moments(vectors.withColumn("start", F.lit(1)), 1.0)
-    params = written(_factored(robust.unionByName(plain).where(F.col("rows") >= min_rows)), "mcd-start")
+    plain = _moments(vectors.withColumn("start", F.lit(1)), 1.0, 1.0)
+    params = written(_factored(robust.unionByName(plain)), "mcd-start")
     q = chi2_quantile(share, d)
     # The covariance of the nearest share of a normal sample is too small by this factor.
     below = NormalDist().cdf(((q / (d + 2)) ** (1 / 3) - 1 + 2 / (9 * (d + 2))) / (2 / (9 * (d + 2))) ** 0.5)
     for _ in range(steps):
         near = both.join(params, ["group", "start"]).withColumn("d2", _distance()).select("group", "start", "d2", *FIELDS)
         cut = written(near.groupBy("group", "start").agg(F.percentile_approx("d2", F.lit(share), F.lit(1000)).alias("cut")), "mcd-cut")
-        params = written(_factored(_moments(near.join(cut, ["group", "start"]).where("d2 <= cut"), share / below)), "mcd-step")
+        params = written(_factored(_moments(near.join(cut, ["group", "start"]).where("d2 <= cut"), share / below, share)), "mcd-step")
     best = params.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     return params.join(best, ["group", "start"])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """``docs`` (text, lang, source, ...) with the base statistics, the vector, base_failed and the group."""
-    stats = with_vector(base_stats(docs.drop("base_failed", "distance", "kept", "_group", *FIELDS)))
+    stats = with_vector(base_stats(docs.drop("base_failed", "distance", "kept", "_group", "_lang", *FIELDS)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATS * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("_group", F.concat_ws("/", null_key(F.col("lang")), null_key(F.col("source"))))
+    # Naming _seen keeps filters by base_failed above the statistics too.
+    stats = stats.withColumn("base_failed", failed & (F.col("_seen") >= 0)).withColumn("_lang", null_key(F.col("lang")))
+    return stats.withColumn("_group", F.concat_ws("/", "_lang", null_key(F.col("source"))))
 
 
 def judge(scored: DataFrame, tail: float = TAIL, keep: Sequence[str] = ()) -> DataFrame:
-    """``scored`` (from :func:`score`) with distance (null if its group has no estimate) and kept.
+    """``scored`` (from :func:`score`) with distance (null if no row passes the base rules) and kept.
 
-    ``scored`` is read three times; where its texts aren't needed, drop them and pass a written table.
+    ``scored`` is read twice; where its texts aren't needed, drop them and pass a written table.
     """
-    vectors = written(scored.where("NOT base_failed AND _seen >= 0").select(F.col("_group").alias("group"), *FIELDS), "quality-vectors")
-    params = written(estimate_groups(vectors), "mcd").withColumnRenamed("group", "_group")
+    vectors = written(scored.select(F.col("_group").alias("group"), F.col("_lang").alias("lang"), "base_failed", *FIELDS), "quality-vectors")
+    chosen = written(pools(vectors), "quality-pools")
+    params = written(estimate_groups(written(pooled(vectors, chosen), "quality-pooled")), "mcd").withColumnRenamed("group", "pool")
+    params = written(chosen.select(F.col("group").alias("_group"), "pool").join(params, "pool"), "mcd-by-group")
     far = scored.join(params, "_group", "left").withColumn("distance", F.sqrt(_distance()))
     limit = chi2_quantile(1 - tail, len(FIELDS)) ** 0.5
     far = far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
-    used = ["_group", "_seen", "start", "rows", "logdet", *FIELDS, *[f"m{i}" for i in range(len(FIELDS))], *[f"l{i}{j}" for i, j in _pairs()]]
+    used = ["_group", "_lang", "_seen", "pool", "start", "rows", "logdet", *FIELDS, *[f"m{i}" for i in range(len(FIELDS))], *[f"l{i}{j}" for i, j in _pairs()]]
     return far.drop(*[c for c in used if c not in keep])
 
 

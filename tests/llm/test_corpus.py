@@ -291,6 +291,19 @@ def test_outliers_are_rejected(spark):
     assert kept == set(range(200))
 
 
+def test_small_groups_take_pooled_estimates(spark):
+    text = lambda i, more: " ".join(f"{WORDS[(i + j * j) % 12]}{j}{more}" for j in range(80))
+    place = lambda i: (("en", f"s{i % 20}") if i % 9 else ("fr", None))
+    clean = [(i, text(i, ""), *place(i)) for i in range(200)]
+    junk = [(1000 + i, text(i, "***$$$"), *place(i)) for i in range(20)] + [(2000, text(0, "***$$$"), "de", "only junk"), (2001, "short", "it", "fails")]
+    frame = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+    rows = quality.judge(quality.score(frame)).collect()
+    assert {r.doc_id for r in rows if r.kept} == set(range(200))
+    assert all(r.distance is not None for r in rows)
+    few = quality.judge(quality.score(frame.where("doc_id < 4 OR doc_id = 1000"))).collect()
+    assert {r.doc_id for r in few if r.kept} == {0, 1, 2, 3} and all(r.distance is not None for r in few)
+
+
 def test_quality_edges(docs, empty):
     judged = quality.judge(quality.score(docs)).collect()
     assert len(judged) == len(ROWS)
