@@ -304,6 +304,24 @@ def test_small_groups_take_pooled_estimates(spark):
     assert {r.doc_id for r in few if r.kept} == {0, 1, 2, 3} and all(r.distance is not None for r in few)
 
 
+def test_each_kind_of_junk_is_rejected(spark):
+    unique = lambda i: [f"{WORDS[(i + j * j) % 12]}{j}" for j in range(90)]
+    clean = [(i, " ".join(unique(i)), "en", "s") for i in range(200)]
+    symbols = " ".join(w if j % 2 else w + " |" for j, w in enumerate(unique(0)))
+    lines = "\n".join(x for w in unique(1) for x in (w, "again", "more"))
+    repeats = " ".join(unique(2)[3:47] + unique(2)[:3] * 14)
+    junk = [(1000, symbols, "en", "s"), (1001, lines, "en", "s"), (1002, repeats, "en", "s")]
+    rows = quality.judge(quality.score(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"))).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if r.kept} == set(range(200))
+
+
+def test_labelled_junk_is_rejected(spark, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.judge(quality.score(real).join(labels, "doc_id")).where("NOT base_failed").collect()
+    assert [r.doc_id for r in rows if r.kept and r.quality == 0] == []
+
+
 def test_quality_edges(docs, empty):
     judged = quality.judge(quality.score(docs)).collect()
     assert len(judged) == len(ROWS)
