@@ -7,14 +7,17 @@ one alignment of a document with an item, equal slot words of the item must stan
 and different ones for different words. Verbatim copies pass with the identity; re-parameterised questions pass with
 a consistent renaming; texts that only share the template's shape fail.
 
-Items with fewer words than a window are one window of all their words. A window needs at least ``MIN_LITERAL`` of
-its words to be literal, so that placeholders alone match nothing.
+Beside the templates stand folded windows: the words themselves with their case folded. Equal folded windows always
+match, so that copies in upper, lower or title case and passages full of names and numbers are found.
+
+Items with fewer words than a window are one window of all their words. A template window needs at least
+``MIN_LITERAL`` of its words to be literal, so that placeholders alone match nothing; a folded one needs none.
 
 Documents are scanned one by one. If the benchmark has at most ``MAX_BROADCAST`` distinct windows, their hashes are
 sent to the tasks, and only matching windows leave a document; beyond that, all windows do and the join is an
 ordinary shuffled one. Matches are aggregated by (text, item, alignment), whose size an item's length bounds.
 
-Defined results: null or short texts match nothing; null and repeated ids are kept apart by their texts; repeated
+Defined results: null texts and texts without words match nothing; null and repeated ids are kept apart by their texts; repeated
 rows get equal results; an empty benchmark or input gives no matches; other columns pass through unchanged.
 """
 
@@ -44,8 +47,8 @@ UNITS = frozenset("mm cm m km inch inches ft feet foot yard yards mile miles mg
 SCHEMA = "key string, width long, hash long, pos long, slots array<string>"
 
 
-def _template(word: str) -> int:
-    """Hash of a word's template form; its lowest bit says whether the word is literal."""
+def _codes(word: str) -> bytes:
+    """Hashes of a word's template form, whose lowest bit says whether the word is literal, and of its folded form."""
     if word[0].isdigit():
         form, literal = "<number>", 0
     elif word[0].isupper():
@@ -54,10 +57,11 @@ def _template(word: str) -> int:
         form, literal = word.lower(), 1
         if form in UNITS:
             form, literal = "<unit>", 0
-    return xxhash.xxh64_intdigest(form.encode()) & (2**64 - 2) | literal
+    template = xxhash.xxh64_intdigest(form.encode()) & (2**64 - 2) | literal
+    return template.to_bytes(8, "little") + xxhash.xxh64_intdigest(word.casefold().encode(), seed=1).to_bytes(8, "little")
 
 
-_TEMPLATES = Memo(_template, CACHE)
+_CODES = Memo(_codes, CACHE)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ZERO = np.zeros(1, np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -72,26 +76,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def windows(text: str, width: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-    """Words, hash of each template window, whether it has enough literal words, and the windows' width."""
+def windows(text: str, widths: tuple[int, ...] = (WINDOW,)) -> tuple[list[str], list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Words, and for each width: the width asked for and that of the windows, hashes of template windows, whether these
+    have enough literal words, and hashes of folded windows."""
     found = TOKEN.findall(text)
-    n = min(width, len(found))
-    if n < MIN_LITERAL:
-        return found, np.zeros(0, np.uint64), np.zeros(0, bool), n
-    code = np.array([_TEMPLATES[w] for w in found], np.uint64)
-    literal = np.concatenate([[0], np.cumsum((code & np.uint64(1)).astype(np.int64))])
+    if not found:
+        return found, []
+    code = np.frombuffer(b"".join(map(_CODES.__getitem__, found)), "<u8").reshape(-1, 2).T
+    literal = np.concatenate([[0], np.cumsum((code[0] & np.uint64(1)).astype(np.int64))])
     # Sums of codes times powers of an odd number; a difference of two, taken back by the inverse power, is a window.
     ahead, back = _powers(len(found))
-    sums = np.concatenate([_ZERO, np.cumsum(code * ahead)])
-    hashed = (sums[n:] - sums[:-n]) * back[: len(found) - n + 1] + np.uint64(n)
-    hashed = (hashed ^ (hashed >> np.uint64(29))) * _STEP
-    hashed ^= hashed >> np.uint64(32)
-    return found, hashed, literal[n:] - literal[:-n] >= MIN_LITERAL, n
+    sums = [np.concatenate([_ZERO, np.cumsum(c * ahead)]) for c in code]
+    made = []
+    for width in widths:
+        n = min(width, len(found))
+        both = []
+        for s in sums:
+            hashed = (s[n:] - s[:-n]) * back[: len(found) - n + 1] + np.uint64(n)
+            hashed = (hashed ^ (hashed >> np.uint64(29))) * _STEP
+            both.append(hashed ^ (hashed >> np.uint64(32)))
+        made.append((width, n, both[0], literal[n:] - literal[:-n] >= MIN_LITERAL, both[1]))
+    return found, made
 
 
 def slots(words: list[str]) -> list[str]:
     """The original words behind placeholders; literal words are left out."""
-    return [w for w in words if not _TEMPLATES[w] & 1]
+    return [w for w in words if not _CODES[w][0] & 1]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -100,7 +110,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def template_windows(df: DataFrame, key: Column, text: Column, wanted: np.ndarray | None = None, whole: bool = False, widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """(key, width, hash, pos, slots) for the windows of each text; with ``wanted`` (sorted) only those with these hashes.
+    """(key, width, hash, pos, slots) for the windows of each text, slots null for folded ones; with ``wanted`` (sorted) only those with these hashes.
 
     whole: texts that are shorter than a window are one window; else such texts have none.
     widths: the windows' widths in words.
@@ -114,14 +124,16 @@ def template_windows(df: DataFrame, key: Column, text: Column, wanted: np.ndarra
         for batch in batches:
             rows: list[tuple] = []
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for width in widths:
-                    words, hashed, good, n = windows(value.as_py() or "", width)
+                words, made = windows(value.as_py() or "", widths)
+                for width, n, templates, good, folded in made:
                     if n < width and not whole:
                         continue
-                    if few is not None:
-                        good &= few[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                        good[good] = np.isin(hashed[good], wanted)
-                    rows += [(k, n, h, i, slots(words[i : i + n])) for i, h in zip(np.flatnonzero(good).tolist(), hashed[good].astype(np.int64).tolist())]
+                    for hashed, chosen, typed in ((templates, good, True), (folded, np.ones(len(folded), bool), False)):
+                        if few is not None:
+                            chosen &= few[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                            chosen[chosen] = np.isin(hashed[chosen], wanted)
+                        at = np.flatnonzero(chosen).tolist()
+                        rows += [(k, n, h, i, slots(words[i : i + n]) if typed else None) for i, h in zip(at, hashed[chosen].astype(np.int64).tolist())]
                 if len(rows) >= BATCH_ROWS:
                     yield _batch(rows)
                     rows = []
@@ -144,14 +156,18 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX
     wanted = None
     if distinct.limit(max_broadcast + 1).count() <= max_broadcast:
         wanted = np.sort(distinct.toArrow().column(0).to_numpy().astype(np.uint64))
-    # Item widths lie between MIN_LITERAL and WINDOW: a few numbers, whatever the benchmark's size.
+    # Item widths lie between 1 and WINDOW: a few numbers, whatever the benchmark's size.
     widths = tuple(sorted(r[0] for r in of_items.select("width").distinct().collect()))
     hits = template_windows(docs, text_key(F.col("text")), F.col("text"), wanted, widths=widths)
     item = of_items.join(items.select("key", "item_id"), "key").select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    pairs = hits.join(item, "hash").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.withColumn("map", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))))
+    folded = F.col("slots").isNull()
+    same = F.when(folded, F.col("item_slots").isNull()).otherwise(F.size("slots") == F.size("item_slots"))
+    pairs = hits.join(item, "hash").where(same).withColumn("folded", folded)
+    slot_map = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+    pairs = pairs.withColumn("map", F.coalesce(slot_map, F.array().cast("array<struct<item:string,doc:string>>")))
     # One alignment: the document's window lies as far behind the item's as the others of the alignment do.
-    lined = pairs.groupBy("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    # Folded windows are counted apart, so that no other window of the alignment can take back their match.
+    lined = pairs.groupBy("key", "item_id", "folded", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("map"))).alias("map")
     )
     consistent = (F.size("map") == F.size(F.array_distinct("map.item"))) & (F.size("map") == F.size(F.array_distinct("map.doc")))

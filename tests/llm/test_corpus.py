@@ -104,6 +104,18 @@ def test_contamination_slots(spark):
     assert sorted(contamination.find_matches(docs, bench, max_broadcast=0).collect()) == sorted(contamination.find_matches(docs, bench).collect())
 
 
+def test_contamination_ignores_case(spark):
+    plain = "Over the hill went a small grey fox. It saw 3 hens and then the fox ran home"
+    named = "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lena Max Nora Otto 7 8"
+    bench = spark.createDataFrame([(1, plain), (2, named), (3, "Quite tiny item"), (4, ""), (5, plain.upper().replace("FOX", "CAT"))], "item_id long, text string")
+    texts = [plain.upper(), plain.lower(), plain.title(), "so " + named.lower() + " on", "a QUITE tiny item here", plain.replace("fox", "cat"), named.replace("Bert", "Ben").replace("Hans", "Udo"), "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (contamination.MAX_BROADCAST, 0):
+        keys = contamination.find_matches(docs, bench, max_broadcast=most)
+        got = docs.join(keys, contamination.text_key(docs["text"]) == keys["key"]).select("doc_id", "item_id").collect()
+        assert sorted(tuple(r) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 5)]
+
+
 def test_contamination_edges(spark, docs, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert contamination.decontaminate(docs, bench).count() == len(ROWS)
