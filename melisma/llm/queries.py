@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from melisma.llm import chat, contamination, jaccard, mixing, packing, quality, secrets, sharding, tokens, urls
 from melisma.llm.sql import ORACLES
-from melisma.session import written
 
 #: The URL rules.
 RULES = (
@@ -77,7 +76,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = quality.judge(written(quality.score(docs).drop("text"), "quality-scores"))
+    judged = quality.judge(docs, ["doc_id"])
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
+from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,10 +229,40 @@ def test_components_equal_brute_force(spark, real, n, percent):
 def test_drop_similar_edges(docs, empty):
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 6, 8, 8, 9, 10]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 6, 8, 9, 10]
     assert jaccard.drop_similar(empty).isEmpty()
 
 
+def test_drop_similar_goes_by_row(spark):
+    w, q, other = sentence(3, 60), sentence(9, 40), sentence(4, 50)
+    rows = [(3, w), (8, w + " x"), (8, other), (9, q), (9, q), (None, q + " y"), (None, other + " z"), (None, sentence(6, 30)), (None, sentence(6, 30)), (7, ""), (7, None)]
+    kept = jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    expected = [(3, w), (8, other), (9, q), (None, sentence(6, 30)), (7, ""), (7, None)]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_heavy_buckets_join_the_frequency_table(spark, real):
+    shared = sentence(2, 90)
+    rows = [(i, f"{shared} {sentence(i % 40 + 3, 60)} n{i}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(150)  # no task finds an n-gram twice
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(frame, 5, 80, heavy=20).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80)
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    index, table = jaccard.first_index(frame, 5, 80, nothing, 20)
+    assert len(table[0]) > 0 and index.groupBy("token").count().where("count > 20").count() <= len(table[0])
+
+
+def test_sets_of_long_texts(real):
+    def plain(text, n):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    texts = [r.text for r in real.limit(20).collect()]
+    texts += [" ".join(texts * 60), "x" * 3_000_000 + " y", "\x0b".join(["É A", "é a"] * 300_000)]
+    sets = list(jaccard.ngram_sets(pa.array(texts), 3))
+    assert [len(s) for s in sets] == [max(len(plain(t, 3)), int(bool(t.split()))) for t in texts]
+
+
 def test_prefix_length_is_exact():
     for size in range(1, 200):
         for percent in (80, 90):
@@ -284,22 +317,97 @@ def brute_stats(text):
 
 def test_base_stats(docs, real):
     for frame in (docs, real):
-        for r in quality.base_stats(frame).collect():
+        for r in quality.judge(frame).collect():
             assert tuple(r[c] for c in quality.STATS) == brute_stats(r.text)
 
 
-def test_quality_keeps_clean_documents(spark, real):
-    judged = quality.judge(quality.score(real))
+def test_filters_stay_above_the_statistics(real):
+    judged = quality.score(real).where("_s.n_repeat_words > 3 AND base_failed = false")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
+@pytest.fixture(scope="module")
+def judged(spark, real):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = judged.join(labels, "doc_id").where("NOT base_failed").collect()
-    assert all(r.kept for r in rows if r.quality == 1)
+    return quality.judge(real.repartition(3)).join(labels, "doc_id", "left").collect()
+
+
+def test_clean_documents_stay_and_labelled_junk_goes(judged):
+    rows = [r for r in judged if not r.base_failed and r.quality is not None]
+    assert all(r.kept for r in rows if r.quality == 1) and not any(r.kept for r in rows if r.quality == 0)
+
+
+def brute_distances(rows, tail=quality.TAIL):
+    """(kept, distance) by row: the same estimate, group by group in numpy."""
+    d, floors = len(quality.FIELDS), np.array(list(quality.FLOORS.values())) ** 2
+
+    def vector(text):
+        n, chars, symbols, dup, rep = brute_stats(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        upper = sum(unicodedata.category(c) == "Lu" for c in text or "")
+        return [np.log(max(chars, 1) / max(n, 1)), np.log1p(symbols / max(n, 1)), dup / max(lines, 1), rep / max(n, 1), upper / max(chars, 1)]
+
+    def quantile(x, share):
+        buckets = np.sort(np.ceil(np.log1p(x) * quality.BUCKETS))
+        return np.expm1(buckets[int(np.ceil(len(x) * share)) - 1] / quality.BUCKETS)
+
+    q = quality.chi2_quantile(quality.SHARE, d)
+    normal = NormalDist().cdf(((q / (d + 2)) ** (1 / 3) - 1 + 2 / (9 * (d + 2))) / (2 / (9 * (d + 2))) ** 0.5)
+
+    def far(x, mean, cov):
+        y = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T)
+        return (y**2).sum(0)
+
+    def moments(x, factor, n):
+        return x.mean(0), ((x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0))) * factor + np.diag(floors * max(1, quality.MIN_ROWS / n))
+
+    def estimate(x):
+        n, middle = len(x), np.array([quantile(c, 0.5) for c in x.T])
+        spread = np.array([quantile(c, 0.5) for c in np.abs(x - middle).T]) * 1.4826
+        starts = [(middle, np.diag(spread**2 + floors * max(1, quality.MIN_ROWS / n))), moments(x, 1.0, n)]
+        done = []
+        for mean, cov in starts:
+            for _ in range(quality.STEPS):
+                d2 = far(x, mean, cov)
+                near = x[d2 <= quantile(d2, quality.SHARE)]
+                mean, cov = moments(near, quality.SHARE / normal, len(near) / quality.SHARE)
+            done.append((np.linalg.slogdet(cov)[1], mean, cov))
+        return min(done, key=lambda e: e[0])[1:]
+
+    x = np.array([vector(r.text) for r in rows])
+    fails = [n < 50 or 100 * rep > 50 * n for n, _, _, _, rep in (brute_stats(r.text) for r in rows)]
+    good, out = np.flatnonzero(~np.array(fails)), []
+    enough = lambda at: len(at) >= quality.MIN_ROWS
+    limit, known = quality.chi2_quantile(1 - tail, d) ** 0.5, {}
+    for i, r in enumerate(rows):
+        own = [j for j in good if (rows[j].lang, rows[j].source) == (r.lang, r.source)]
+        lang = [j for j in good if rows[j].lang == r.lang]
+        pool = tuple(own if enough(own) else lang if enough(lang) else good)
+        if pool not in known:
+            known[pool] = estimate(x[list(pool)])
+        distance = float(far(x[[i]], *known[pool])[0] ** 0.5)
+        out.append((bool(not fails[i] and distance <= limit), distance))
+    return out
+
+
+def test_distances_equal_brute_force(judged):
+    expected = brute_distances(judged)
+    assert [r.kept for r in judged] == [k for k, _ in expected]
+    assert [r.distance for r in judged] == pytest.approx([d for _, d in expected], rel=1e-5, abs=1e-6)
+
+
+def test_many_groups_are_joined_by_salt(docs, real, monkeypatch):
+    expected = sorted((r.doc_id, r.kept) for r in quality.judge(real, ["doc_id"]).collect())
+    monkeypatch.setattr(quality, "MAX_GROUPS", 1)
+    assert sorted((r.doc_id, r.kept) for r in quality.judge(real, ["doc_id"]).collect()) == expected
 
 
 def test_outliers_are_rejected(spark):
     clean = [(i, " ".join(f"{WORDS[(i + j * j) % 12]}{j}" for j in range(80)), "en", "s") for i in range(200)]
     junk = [(1000 + i, " ".join(f"{WORDS[(i + j * j) % 12]}{j}***$$$" for j in range(80)), "en", "s") for i in range(20)]
     frame = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
-    kept = {r.doc_id for r in quality.judge(quality.score(frame)).where("kept").collect()}
+    kept = {r.doc_id for r in quality.judge(frame).where("kept").collect()}
     assert kept == set(range(200))
 
 
@@ -309,10 +417,10 @@ def test_small_groups_take_pooled_estimates(spark):
     clean = [(i, text(i, ""), *place(i)) for i in range(200)]
     junk = [(1000 + i, text(i, "***$$$"), *place(i)) for i in range(20)] + [(2000, text(0, "***$$$"), "de", "only junk"), (2001, "short", "it", "fails")]
     frame = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
-    rows = quality.judge(quality.score(frame)).collect()
+    rows = quality.judge(frame).collect()
     assert {r.doc_id for r in rows if r.kept} == set(range(200))
     assert all(r.distance is not None for r in rows)
-    few = quality.judge(quality.score(frame.where("doc_id < 4 OR doc_id = 1000"))).collect()
+    few = quality.judge(frame.where("doc_id < 4 OR doc_id = 1000")).collect()
     assert {r.doc_id for r in few if r.kept} == {0, 1, 2, 3} and all(r.distance is not None for r in few)
 
 
@@ -323,23 +431,18 @@ def test_each_kind_of_junk_is_rejected(spark):
     lines = "\n".join(x for w in unique(1) for x in (w, "again", "more"))
     repeats = " ".join(unique(2)[3:47] + unique(2)[:3] * 14)
     junk = [(1000, symbols, "en", "s"), (1001, lines, "en", "s"), (1002, repeats, "en", "s")]
-    rows = quality.judge(quality.score(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"))).collect()
+    rows = quality.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()
     assert not any(r.base_failed for r in rows)
     assert {r.doc_id for r in rows if r.kept} == set(range(200))
 
 
-def test_labelled_junk_is_rejected(spark, real):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = quality.judge(quality.score(real).join(labels, "doc_id")).where("NOT base_failed").collect()
-    assert [r.doc_id for r in rows if r.kept and r.quality == 0] == []
-
-
 def test_quality_edges(docs, empty):
-    judged = quality.judge(quality.score(docs)).collect()
-    assert len(judged) == len(ROWS)
-    assert all(not r.kept for r in judged if not (r.text or "").strip())
-    assert all(r.kept == (not r.base_failed) for r in judged)  # groups are too small for an estimate
-    assert quality.judge(quality.score(empty)).isEmpty()
+    clash = docs.withColumns({c: F.lit(1) for c in ("m0", "l00", "start", "rows", "logdet", "group", "pool", "_s", "p", "x_length", "n_words")})
+    for keep in (None, ["doc_id", "m0", "p"]):
+        judged = quality.judge(clash, keep).collect()
+        assert len(judged) == len(ROWS) and not any(r.kept for r in judged) and all(r.m0 == r.p == 1 for r in judged)
+    assert quality.keep_good(clash).columns == clash.columns
+    assert quality.judge(empty).isEmpty() and quality.keep_good(empty).isEmpty()
 
 
 # URL filters
