@@ -37,6 +37,9 @@ GENRE_ALIASES = {
     "rnb": "r_and_b", "rock": "rock", "shoegaze": "shoegaze", "soul": "soul", "synthpop": "synthpop",
 }
 NOT_GENRES = ("albums i own", "awesome", "beautiful", "best", "british", "favorites", "favourite", "great", "love", "male vocalists", "manchester", "seen live", "under 2000 listeners")
+NOT_PREFERENCES = ("albums i own", "awesome", "beautiful", "best", "favorites", "favourite", "great", "love", "seen live", "wrong track streaming")
+DECADE_OR_YEAR = r"^(?:(?:19|20)\d{2}|(?:19|20)?\d0s)$"
+RATING = r"^\d+(?:\.\d+)?\s+(?:of|out of)\s+\d+\s+stars?$"
 DECADE = r"^(?:19|20)?\d0s$"
 VERSION_MARKER = r"\b(?:remaster(?:ed)?|live|mono|stereo|acoustic|demo|edit|mix|version)\b"
 REMASTERED = r"\b(?:re-?master(?:ed)?|remaster)\b"

@@ -95,7 +95,7 @@ def external_version(title: Column, album: Column) -> Column:
     after = lambda mark: F.when(F.contains(t, F.lit(mark)), F.substring(t, F.instr(t, mark) + len(mark), F.length(t))).otherwise("")
     labels = F.concat_ws(" ", after(" - "), after("("), a)
     has = lambda *words: F.rlike(labels, F.lit("|".join(words)))
-    return F.when(has("live", "session", "acoustic"), "live_or_session").when(has("remaster"), "remastered").when(has("deluxe", "bonus"), "deluxe").otherwise("album_cut")
+    return F.when(has("live", "session", "acoustic", "mtv unplugged"), "live_or_session").when(has("remaster"), "remastered").when(has("deluxe", "bonus"), "deluxe").otherwise("album_cut")
 
 
 def version_penalty(kind: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import constants as K
+from melisma.functions import text
 
 
 def last_direct_reward(feedback: DataFrame) -> DataFrame:
@@ -73,15 +74,31 @@ def transferred_feedback(feedback: DataFrame, songs: DataFrame, tags: DataFrame)
     return moved.select("user_id", "song_id", F.greatest(F.lit(-1000000.0), F.least(F.lit(1000000.0), F.floor(F.col("s") / 10 + 0.5))).cast("bigint").alias("score6"))
 
 
+def preference_labels(songs: DataFrame, tags: DataFrame) -> DataFrame:
+    """song_id, kind, key, label, w: what a collected song says about its listener.
+
+    The artist counts once, under its normalised name; genres count by weight, and so do normalised tags that aren't
+    noise (stop list, year, decade, rating, or the artist's own name).
+    """
+    artist = songs.where(text.label(F.col("artist")) != "").select("song_id", F.lit("artist").alias("kind"), text.label(F.col("artist")).alias("key"), F.trim("artist").alias("label"), F.lit(1).cast("bigint").alias("w"))
+    genre = tags.where("field = 'genres'").select("song_id", F.lit("genre").alias("kind"), F.col("label").alias("key"), "label", "w")
+    name = text.tag_name(F.col("label"))
+    own = tags.where("field != 'genres'").join(songs.select("song_id", text.tag_name(F.col("artist")).alias("own")), "song_id").withColumn("name", name)
+    noise = (F.col("name") == "") | F.col("name").isin(*K.NOT_PREFERENCES) | F.rlike("name", F.lit(K.DECADE_OR_YEAR)) | F.rlike("name", F.lit(K.RATING)) | F.coalesce(F.col("name") == F.col("own"), F.lit(False))
+    tag = own.where(~noise).select("song_id", F.lit("tag").alias("kind"), F.col("name").alias("key"), F.col("name").alias("label"), "w")
+    return artist.unionByName(genre).unionByName(tag)
+
+
 def rebuilt_preferences(collection: DataFrame, songs: DataFrame, tags: DataFrame) -> DataFrame:
-    """user_id, kind, label, weight4: artists by count, genres and tags by summed weight, over the user's largest."""
-    mine = collection.select("user_id", "song_id")
-    artist = mine.join(songs, "song_id").where("artist != ''").groupBy("user_id", F.col("artist").alias("label")).agg(F.count(F.lit(1)).cast("bigint").alias("s")).withColumn("kind", F.lit("artist"))
-    labelled = mine.join(tags, "song_id").withColumn("kind", F.when(F.col("field") == "genres", "genre").otherwise("tag"))
-    noise = (F.col("kind") == "tag") & ((F.lower("label").isin(*K.NOT_GENRES)) | F.rlike(F.col("label"), F.lit(K.DECADE)))
-    summed = labelled.where(~noise).groupBy("user_id", "kind", "label").agg(F.sum("w").alias("s"))
+    """user_id, kind, label, weight4: artists by count, genres and tags by summed weight, over the user's largest.
+
+    Of an artist's spellings the one collected first is the label. collection: user_id, song_id, first_order. One join
+    and one aggregation for all kinds.
+    """
+    met = collection.select("user_id", "song_id", "first_order").join(preference_labels(songs, tags), "song_id")
+    summed = met.groupBy("user_id", "kind", "key").agg(F.sum("w").alias("s"), F.min_by("label", F.struct("first_order", "song_id")).alias("label"))
     largest = Window.partitionBy("user_id", "kind")
-    return artist.select("user_id", "kind", "label", "s").unionByName(summed).select("user_id", "kind", "label", F.floor(F.col("s") / F.max("s").over(largest) * 1e4 + 0.5).cast("bigint").alias("weight4"))
+    return summed.select("user_id", "kind", "label", F.floor(F.col("s") / F.max("s").over(largest) * 1e4 + 0.5).cast("bigint").alias("weight4"))
 
 
 def top_preferences(preferences: DataFrame, n: int) -> DataFrame:

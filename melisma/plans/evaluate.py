@@ -14,16 +14,22 @@ from melisma.sources import adapters as ad
 POOL = GRID.replace("{k}", "100") + "," + PREFS + "," + SIMS + """,
 moved AS (SELECT user_id, r AS song_id, greatest(-1000000, least(1000000, floor(sum(reward10 * sim6)::DOUBLE / 10 + 0.5)))::BIGINT AS score6 FROM feedback f JOIN sims ON l = f.song_id GROUP BY user_id, r),
 labelled AS (
-    SELECT user_id, t.song_id, 'artist' AS kind, s.artist AS label, 10000 AS w FROM top t JOIN songs s USING (song_id)
-    UNION ALL SELECT user_id, t.song_id, CASE WHEN field = 'genres' THEN 'genre' ELSE 'tag' END, label, w FROM top t JOIN tags USING (song_id)),
-liked AS (
-    SELECT l.user_id, l.song_id, max(CASE WHEN kind = 'artist' THEN w * weight4 END) AS artist8, max(CASE WHEN kind = 'genre' THEN w * weight4 END) AS genre8,
-           max(CASE WHEN kind = 'tag' THEN w * weight4 END) AS tag8 FROM labelled l JOIN prefs USING (user_id, kind, label) GROUP BY ALL),
+    SELECT song_id, 'artist' AS kind, lower(artist) AS key, 10000::BIGINT AS w FROM songs
+    UNION ALL SELECT song_id, CASE WHEN field = 'genres' THEN 'genre' ELSE 'tag' END, lower(label), max(w) FROM tags GROUP BY ALL),
+wanted AS (SELECT user_id, kind, lower(label) AS key, max(weight4) AS weight4 FROM prefs GROUP BY ALL),
+met AS (SELECT t.user_id, t.song_id, kind, sum(least(w, weight4))::BIGINT AS shared, max(weight4) AS top FROM top t JOIN labelled USING (song_id) JOIN wanted USING (user_id, kind, key) GROUP BY ALL),
+jac AS (
+    SELECT user_id, song_id, kind, top, shared::DOUBLE / (a.n + b.n - shared)::DOUBLE AS j FROM met
+    JOIN (SELECT song_id, kind, sum(w) AS n FROM labelled GROUP BY ALL) a USING (song_id, kind) JOIN (SELECT user_id, kind, sum(weight4) AS n FROM wanted GROUP BY ALL) b USING (user_id, kind)),
+raws AS (
+    SELECT user_id, song_id, similarity / 1e6 AS retrieval_raw, coalesce(max(top) FILTER (WHERE kind = 'artist'), 0) / 10000.0::DOUBLE AS artist_raw,
+           coalesce(max(j) FILTER (WHERE kind = 'genre'), 0) AS genre_raw, coalesce(max(j) FILTER (WHERE kind = 'tag'), 0) AS tag_raw,
+           any_value(confidence10) / 10.0::DOUBLE AS quality_raw, coalesce(any_value(score6), 0) / 1e6 AS feedback_raw
+    FROM top t JOIN songs USING (song_id) LEFT JOIN jac USING (user_id, song_id) LEFT JOIN moved USING (user_id, song_id) GROUP BY user_id, song_id, similarity),
 based AS (
-    SELECT t.user_id, t.song_id, floor(0.5::DOUBLE * similarity + 0.5)::BIGINT AS retrieval_part, floor(0.08::DOUBLE * (coalesce(artist8, 0) / 100.0::DOUBLE) + 0.5)::BIGINT AS artist_part,
-           floor(0.14::DOUBLE * (coalesce(genre8, 0) / 100.0::DOUBLE) + 0.5)::BIGINT AS genre_part, floor(0.18::DOUBLE * (coalesce(tag8, 0) / 100.0::DOUBLE) + 0.5)::BIGINT AS tag_part,
-           floor(0.1::DOUBLE * (confidence10 * 100000.0::DOUBLE) + 0.5)::BIGINT AS quality_part, floor(0.15::DOUBLE * coalesce(score6, 0) + 0.5)::BIGINT AS feedback_part
-    FROM top t JOIN songs s USING (song_id) LEFT JOIN liked USING (user_id, song_id) LEFT JOIN moved m ON m.user_id = t.user_id AND m.song_id = t.song_id)
+    SELECT *, floor(0.5::DOUBLE * retrieval_raw * 1e6 + 0.5)::BIGINT AS retrieval_part, floor(0.08::DOUBLE * artist_raw * 1e6 + 0.5)::BIGINT AS artist_part,
+           floor(0.14::DOUBLE * genre_raw * 1e6 + 0.5)::BIGINT AS genre_part, floor(0.18::DOUBLE * tag_raw * 1e6 + 0.5)::BIGINT AS tag_part,
+           floor(0.1::DOUBLE * quality_raw * 1e6 + 0.5)::BIGINT AS quality_part, floor(0.15::DOUBLE * feedback_raw * 1e6 + 0.5)::BIGINT AS feedback_part FROM raws)
 """
 
 
@@ -35,19 +41,24 @@ def ranked_pool(spark, sf_dir):
     return rk.base_scores(pool, prefs, songs, tags, fb.transferred_feedback(ad.feedback(spark, sf_dir), songs, tags))
 
 
-@query(POOL + "SELECT *, retrieval_part + artist_part + genre_part + tag_part + quality_part + feedback_part AS base FROM based")
+@query(POOL + "SELECT user_id, song_id, retrieval_part, artist_part, genre_part, tag_part, quality_part, feedback_part, retrieval_part + artist_part + genre_part + tag_part + quality_part + feedback_part AS base FROM based")
 def sc16_jn6_jn7_base_score(spark, sf_dir):
-    return ranked_pool(spark, sf_dir).drop("similarity", "rank")
-
-
-@query(POOL + """
-SELECT user_id, song_id, concat_ws('; ', r[1], r[2], r[3], r[4]) AS reasons FROM (SELECT user_id, song_id, list_filter([
-    CASE WHEN retrieval_part > 0 THEN 'close to your collection' END, CASE WHEN artist_part > 0 THEN 'an artist you like' END, CASE WHEN genre_part > 0 THEN 'a genre you like' END,
-    CASE WHEN tag_part > 0 THEN 'tags you like' END, CASE WHEN quality_part > 0 THEN 'well documented' END, CASE WHEN feedback_part > 0 THEN 'like songs you liked' END], lambda x: x IS NOT NULL) AS r FROM based)
+    parts = [f"{k}_part" for k in ("retrieval", "artist", "genre", "tag", "quality", "feedback")]
+    return ranked_pool(spark, sf_dir).select("user_id", "song_id", *parts, "base")
+
+
+@query(POOL + """,
+said AS (
+    SELECT user_id, song_id, 1 AS n, 0.0::DOUBLE AS r, '' AS k, CASE WHEN retrieval_raw >= 0.5 THEN 'strong similarity to the collection seeds' WHEN retrieval_raw > 0 THEN 'retrieved from collection-level song similarity' END AS t FROM based
+    UNION ALL SELECT user_id, song_id, 2, 0, '', CASE WHEN feedback_raw >= 0.25 THEN 'promoted by positive feedback' WHEN feedback_raw <= -0.25 THEN 'penalized by negative feedback' END FROM based
+    UNION ALL SELECT user_id, song_id, 3, -artist_raw, 'artist', CASE WHEN artist_raw >= 0.1 THEN 'matches a preferred artist' END FROM based
+    UNION ALL SELECT user_id, song_id, 3, -genre_raw, 'genre', CASE WHEN genre_raw >= 0.1 THEN 'matches the collection genre profile' END FROM based
+    UNION ALL SELECT user_id, song_id, 3, -tag_raw, 'tag', CASE WHEN tag_raw >= 0.1 THEN 'matches the collection tag profile' END FROM based
+    UNION ALL SELECT user_id, song_id, 4, 0, '', CASE WHEN quality_raw >= 0.8 THEN 'high-confidence song profile' END FROM based)
+SELECT user_id, song_id, coalesce(array_to_string((list(t ORDER BY n, r, k) FILTER (WHERE t IS NOT NULL))[:4], '; '), 'selected from the L3 candidate pool') AS reasons FROM said GROUP BY ALL
 """)
 def sc30_ranking_reasons(spark, sf_dir):
-    b = ranked_pool(spark, sf_dir)
-    return b.select("user_id", "song_id", F.array_join(rk.reasons(b), "; ").alias("reasons"))
+    return ranked_pool(spark, sf_dir).select("user_id", "song_id", F.array_join(rk.reasons(F.lit(0.0)), "; ").alias("reasons"))
 
 
 @query()

@@ -203,11 +203,17 @@ def agg8_counts_by_kind(spark, sf_dir):
     return fb.counts_by_kind(ad.feedback(spark, sf_dir))
 
 
-PREFS = """
-sums AS (
-    SELECT user_id, 'artist' AS kind, artist AS label, count(*)::BIGINT AS s FROM collection JOIN songs USING (song_id) GROUP BY ALL
-    UNION ALL
-    SELECT user_id, CASE WHEN field = 'genres' THEN 'genre' ELSE 'tag' END, label, sum(w)::BIGINT FROM collection JOIN tags USING (song_id) GROUP BY ALL),
+PREFS = r"""
+tagged AS (
+    SELECT song_id, label, w, trim(lower(regexp_replace(regexp_replace(label, '[_/]+', ' ', 'g'), '\s+', ' ', 'g'))) AS name, trim(lower(regexp_replace(regexp_replace(artist, '[_/]+', ' ', 'g'), '\s+', ' ', 'g'))) AS own
+    FROM tags JOIN songs USING (song_id) WHERE field <> 'genres'),
+told AS (
+    SELECT song_id, 'artist' AS kind, lower(trim(regexp_replace(artist, '\s+', ' ', 'g'))) AS key, trim(artist) AS label, 1::BIGINT AS w FROM songs
+    UNION ALL SELECT song_id, 'genre', label, label, w FROM tags WHERE field = 'genres'
+    UNION ALL SELECT song_id, 'tag', name, name, w FROM tagged
+    WHERE name <> '' AND name <> own AND NOT regexp_full_match(name, '(?:19|20)\d{2}|(?:19|20)?\d0s') AND NOT regexp_full_match(name, '\d+(?:\.\d+)?\s+(?:of|out of)\s+\d+\s+stars?')
+      AND name NOT IN ('albums i own', 'awesome', 'beautiful', 'best', 'favorites', 'favourite', 'great', 'love', 'seen live', 'wrong track streaming')),
+sums AS (SELECT user_id, kind, key, sum(w)::BIGINT AS s, arg_min(label, (first_order, song_id)) AS label FROM collection JOIN told USING (song_id) GROUP BY ALL),
 prefs AS (SELECT user_id, kind, label, floor(s::DOUBLE / max(s) OVER (PARTITION BY user_id, kind) * 1e4 + 0.5)::BIGINT AS weight4 FROM sums)
 """
 
