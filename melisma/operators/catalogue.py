@@ -57,14 +57,19 @@ def merged_records(sources: list[tuple[str, DataFrame]], fields: list[str]) -> D
     union = reduce(DataFrame.unionByName, rows).where("title_key != '' AND artist_key != ''")
     first = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("trust"))).alias(f) for f in fields]
     lineage = [F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.col(f).isNotNull(), F.struct("trust", "source")))), lambda x: x["source"]), ",").alias(f"{f}_from") for f in fields]
-    return union.groupBy("title_key", "artist_key").agg(*first, *lineage, F.count_distinct("source").alias("n_sources"))
+    return union.groupBy("title_key", "artist_key").agg(*first, *lineage, F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def confidence(merged: DataFrame, fields: list[str], tagged: Column, with_genres: Column) -> Column:
-    """Hundredths: 20 for any record, 20 for a second source, 15 for tags, 25 for agreement of all three, 10 for
-    completeness, 10 for genres."""
-    full = F.floor(F.lit(10) * completeness(*[F.col(f) for f in fields]) / len(fields) + 0.5).cast("bigint")
-    return F.lit(20) + F.when(F.col("n_sources") > 1, 20).otherwise(0) + F.when(tagged, 15).otherwise(0) + F.when(F.col("n_sources") > 2, 25).otherwise(0) + full + F.when(with_genres, 10).otherwise(0)
+def confidence(merged: DataFrame, roles: tuple[str, str, str], score: Column, tagged: Column, fields: list[str], with_genres: Column) -> Column:
+    """Ten-thousandths: 2000 for a record of the first source, up to 2000 by its score (1 to 100, none is 100) for the
+    second, 1500 for tags of the third, 2500 if two sources agree, 1000 by completeness, 1000 for genres; 10000 at most.
+    """
+    has = lambda role: F.array_contains("sources", role)
+    part = F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(F.nullif(score.cast("int"), F.lit(0)), F.lit(100))))
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    full = F.floor(F.lit(1000) * completeness(*[F.col(f) for f in fields]) / len(fields) + 0.5)
+    total = flag(has(roles[0]), 2000) + F.when(has(roles[1]), part * 20).otherwise(0) + flag(has(roles[2]) & tagged, 1500) + flag(F.size("sources") > 1, 2500) + full + flag(with_genres, 1000)
+    return F.least(F.lit(10000), total).cast("bigint")
 
 
 def artist_profiles(songs: DataFrame, tags: DataFrame) -> DataFrame:

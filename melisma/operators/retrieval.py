@@ -168,21 +168,22 @@ def artist_cap(scores: DataFrame, cap: int) -> DataFrame:
     return scores.withColumn("nth", F.row_number().over(per)).where((F.col("nth") <= cap) | (F.col("artist") == ""))
 
 
-def capped_distinct(pool, k: int, cap: int):
-    """Greedy pick of one user's ranked pool (pandas): skips duplicates of picked songs, then full artists.
+def distinct_capped(pool: DataFrame, k: int, cap: int) -> DataFrame:
+    """user_id, rank, song_id: the ordered pick that skips duplicates of picked songs, then full artists.
 
-    Duplicates don't use up an artist's share, and songs skipped by the cap hide no duplicates. For applyInPandas.
+    pool: user_id, song_id, similarity, artist_key, title_key, duration_ms. Duplicates share artist and title, so who is
+    picked of a title depends on that title alone, and no more than ``cap`` of it can count: each step of a window takes
+    the best open song of a title and closes its duplicates. Empty titles are never duplicates, empty artists never full.
     """
-    picked, per, keys = [], {}, {}
-    for i, row in enumerate(pool.sort_values(["similarity", "song_id"], ascending=[False, True]).itertuples(index=False)):
-        key = (row.artist_key, row.title_key)
-        if row.title_key and any(abs(row.duration_ms - d) <= K.DUPLICATE_MS for d in keys.get(key, ())):
-            continue
-        if row.artist_key and per.get(row.artist_key, 0) >= cap:
-            continue
-        per[row.artist_key] = per.get(row.artist_key, 0) + 1
-        keys.setdefault(key, []).append(row.duration_ms)
-        picked.append((row.user_id, len(picked) + 1, row.song_id))
-        if len(picked) == k:
-            break
-    return type(pool)(picked, columns=["user_id", "rank", "song_id"])
+    order = [F.desc("similarity"), F.col("song_id")]
+    title = Window.partitionBy("user_id", "artist_key", "title_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = pool.withColumn("_open", F.col("title_key") != "").withColumn("_picked", F.col("title_key") == "")
+    for _ in range(cap):
+        rows = rows.withColumn("_b", F.first(F.when(F.col("_open"), F.struct("song_id", "duration_ms")), ignorenulls=True).over(title))
+        near = F.coalesce(F.abs(F.col("duration_ms") - F.col("_b.duration_ms")) <= K.DUPLICATE_MS, F.lit(True))
+        best = F.col("_open") & (F.col("song_id") == F.col("_b.song_id"))
+        rows = rows.withColumn("_picked", F.col("_picked") | best).withColumn("_open", F.col("_open") & ~near)
+    artist = Window.partitionBy("user_id", "artist_key").orderBy(*order)
+    kept = rows.where("_picked").withColumn("_n", F.row_number().over(artist)).where((F.col("_n") <= cap) | (F.col("artist_key") == ""))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+    return ranked.where(F.col("rank") <= k).select("user_id", "rank", "song_id")

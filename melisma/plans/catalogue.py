@@ -8,52 +8,69 @@ from melisma.functions import text as tx
 from melisma.operators import catalogue as ct
 from melisma.operators import feedback as fb
 from melisma.operators import sessions as se
-from melisma.plans.recommend import PREFS, query
+from melisma.operators import retrieval as rt
+from melisma.plans.recommend import GRID, PREFS, query, scored
 from melisma.sources import adapters as ad
 
+#: The patterns of the text rules, as DuckDB's engine writes them.
 TITLES = r"""
 titled AS (
-    SELECT song_id, artist, title, title || CASE song_id % 5 WHEN 0 THEN ' (Live at Town Hall)' WHEN 1 THEN ' - Remastered 2011' WHEN 2 THEN ' [Deluxe Edition]' WHEN 3 THEN ' (with friends)' ELSE '' END AS full_title FROM songs)
+    SELECT song_id, artist, title, title || [' (Live at ' || genre || ')', ' - Remastered ' || year, ' [Deluxe Edition]', ' (with ' || artist || ')', '', ' - ' || year || ' Mono Mix', ' (Acoustic Demo) [' || genre || ']', ' - Single', ' & Friends Pt. 2'][song_id % 9 + 1] AS full_title FROM songs),
+bare AS (SELECT *, regexp_replace(full_title, '(?i)[\[(][^\])]*\b(?:remaster(?:ed)?|live|mono|stereo|acoustic|demo|edit|mix|version)\b[^\])]*[\])]', '', 'g') AS b FROM titled),
+canonical AS (
+    SELECT *, CASE WHEN regexp_matches(regexp_extract(b, '(?s)^(.*?)\s+-\s+(.*)$', 2), '(?i)\b(?:remaster(?:ed)?|live|mono|stereo|acoustic|demo|edit|mix|version)\b') THEN regexp_extract(b, '(?s)^(.*?)\s+-\s+(.*)$', 1) ELSE b END AS c FROM bare),
+kinds AS (
+    SELECT *, CASE WHEN regexp_matches(full_title, '(?i)\b(?:re-?master(?:ed)?|remaster)\b') THEN 'remastered' WHEN regexp_matches(full_title, '(?i)\b(?:live|concert|unplugged|session|at\s+\w+\s+(?:arena|stadium|hall))\b') THEN 'live'
+        WHEN regexp_matches(full_title, '(?i)\b(?:cover|tribute|karaoke)\b') THEN 'cover' WHEN trim(full_title) <> '' THEN 'original' ELSE 'unknown' END AS kind FROM titled)
 """
 
 
 def _titled(spark, sf_dir):
     s = ad.songs(spark, sf_dir)
-    m = F.col("song_id") % 5
-    note = F.when(m == 0, " (Live at Town Hall)").when(m == 1, " - Remastered 2011").when(m == 2, " [Deluxe Edition]").when(m == 3, " (with friends)").otherwise("")
-    return s.select("song_id", "artist", "title", F.concat("title", note).alias("full_title"))
+    year = F.col("year").cast("string")
+    notes = F.array(
+        F.concat(F.lit(" (Live at "), "genre", F.lit(")")), F.concat(F.lit(" - Remastered "), year), F.lit(" [Deluxe Edition]"), F.concat(F.lit(" (with "), "artist", F.lit(")")), F.lit(""),
+        F.concat(F.lit(" - "), year, F.lit(" Mono Mix")), F.concat(F.lit(" (Acoustic Demo) ["), "genre", F.lit("]")), F.lit(" - Single"), F.lit(" & Friends Pt. 2"),
+    )
+    return s.select("song_id", "artist", "title", F.concat("title", F.get(notes, (F.col("song_id") % 9).cast("int"))).alias("full_title"))
 
 
 @query(TITLES + r"""
-SELECT song_id, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS artist_words, trim(regexp_replace(lower(CASE song_id % 5 WHEN 0 THEN title WHEN 1 THEN title ELSE full_title END), '[^a-z0-9]+', ' ', 'g')) AS title_key,
-       lower(trim(regexp_replace(full_title, '\s+', ' ', 'g'))) AS label, regexp_replace(lower(full_title), '[^a-z0-9]', '', 'g') AS compact FROM titled
+SELECT song_id, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS artist_words, trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')) AS title_key,
+       lower(trim(regexp_replace(full_title, '\s+', ' ', 'g'))) AS label, regexp_replace(lower(full_title), '[^a-z0-9]', '', 'g') AS compact FROM canonical
 """)
 def sc1_sc4_text_norms(spark, sf_dir):
     t = F.col("full_title")
-    # "[Deluxe Edition]" holds no version marker as a word of its own, so it stays.
     return _titled(spark, sf_dir).select("song_id", tx.alnum_words(F.col("artist")).alias("artist_words"), tx.canonical_title(t).alias("title_key"), tx.label(t).alias("label"), tx.compact(t).alias("compact"))
 
 
-@query(TITLES + r"""
-SELECT song_id, regexp_replace(lower(CASE song_id % 5 WHEN 0 THEN title WHEN 1 THEN title ELSE full_title END), '[^a-z0-9]+', '', 'g') AS identity,
-       CASE song_id % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'remastered' ELSE 'original' END AS kind,
-       CASE song_id % 5 WHEN 0 THEN 'live_or_session' WHEN 1 THEN 'remastered' ELSE 'album_cut' END AS label,
-       lower(artist) || '::' || regexp_replace(lower(CASE song_id % 5 WHEN 0 THEN title WHEN 1 THEN title WHEN 2 THEN title ELSE full_title END), '[^a-z0-9]', '', 'g') AS signature FROM titled
+@query(TITLES + r""",
+spelled AS (SELECT *, regexp_replace(replace(replace(lower(strip_accents(full_title)), '&', ' and '), '?', ' questionmark '), '\bpt\.?\s*(\d+)\b', 'part \1', 'g') AS i FROM kinds),
+parts AS (
+    SELECT *, lower(full_title) AS l, regexp_replace(lower(full_title), '[^a-z0-9]', '', 'g') AS whole FROM spelled),
+marked AS (
+    SELECT *, concat_ws(' ', CASE WHEN contains(l, ' - ') THEN substr(l, strpos(l, ' - ') + 3) ELSE '' END, CASE WHEN contains(l, '(') THEN substr(l, strpos(l, '(') + 1) ELSE '' END, '') AS m,
+        split_part(split_part(split_part(split_part(split_part(split_part(split_part(split_part(split_part(split_part(whole, 'remaster', 1), 'remastered', 1), 'deluxe', 1), 'radio2session', 1), 'session', 1), 'live', 1), 'edit', 1), 'version', 1), 'mono', 1), 'stereo', 1) AS cut FROM parts)
+SELECT song_id, regexp_replace(regexp_replace(i, '(?i)\s*[-–—(\[]\s*(?:(?:\d{4}\s+)?re-?master(?:ed)?(?:\s+version)?|live(?:\s+at[^)\]]*)?|concert|unplugged|session|cover|tribute|karaoke|original(?:\s+version)?)[^)\]]*[)\]]?\s*$', ''), '[^a-z0-9]+', '', 'g') AS identity, kind,
+       CASE WHEN regexp_matches(m, 'live|session|acoustic|mtv unplugged') THEN 'live_or_session' WHEN regexp_matches(m, 'remaster') THEN 'remastered' WHEN regexp_matches(m, 'deluxe|bonus') THEN 'deluxe' ELSE 'album_cut' END AS label,
+       lower(artist) || '::' || CASE WHEN cut = '' THEN whole ELSE cut END AS signature FROM marked
 """)
 def sc5_sc7_sc8_sc9_versions(spark, sf_dir):
     t, none = F.col("full_title"), F.lit("")
-    return _titled(spark, sf_dir).select("song_id", tx.identity(t, accents=False).alias("identity"), tx.version_class(t, none, none).alias("kind"), tx.external_version(t, none).alias("label"), tx.track_signature(t, F.col("artist")).alias("signature"))
+    return _titled(spark, sf_dir).select("song_id", tx.identity(t).alias("identity"), tx.version_class(t, none, none).alias("kind"), tx.external_version(t, none).alias("label"), tx.track_signature(t, F.col("artist")).alias("signature"))
 
 
 @query(r"""
-named AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Noel Gallagher' WHEN 1 THEN 'Damon Albarn Band' WHEN 2 THEN 'Gallaghers' ELSE event_type END AS artist FROM events)
-SELECT event_id, CASE WHEN event_id % 4 IN (0, 2) THEN 'gallagher' WHEN event_id % 4 = 1 THEN 'albarn' ELSE '' END AS family, trim(regexp_replace(regexp_replace(lower(artist), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM named
+named AS (SELECT c_custkey AS id, n_name || ' ' || ['Gallagher', 'albarn', 'Ashcroft Band', 'Smith', 'Gallaghers', 'Ashcrofts'][c_custkey % 6 + 1] || CASE WHEN c_custkey % 7 = 0 THEN ' & Sons' ELSE '' END AS artist FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, CASE WHEN regexp_matches(lower(artist), '\b[a-z]+ gallagher\b') THEN 'gallagher' WHEN regexp_matches(lower(artist), '\b[a-z]+ ashcroft\b') THEN 'ashcroft' WHEN regexp_matches(lower(artist), '\b[a-z]+ albarn\b') THEN 'albarn'
+    WHEN contains(lower(artist), 'gallagher') THEN 'gallagher' ELSE '' END AS family, regexp_replace(regexp_replace(lower(artist), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM named
 """)
 def sc10_sc12_family_slug(spark, sf_dir):
-    e = ad.table(spark, sf_dir, "events")
-    m = F.col("event_id") % 4
-    artist = F.when(m == 0, "Noel Gallagher").when(m == 1, "Damon Albarn Band").when(m == 2, "Gallaghers").otherwise(F.col("event_type"))
-    return e.select("event_id", tx.family_key(artist).alias("family"), tx.slug(artist).alias("slug"))
+    k = F.col("c_custkey")
+    last = F.get(F.array(*[F.lit(x) for x in ("Gallagher", "albarn", "Ashcroft Band", "Smith", "Gallaghers", "Ashcrofts")]), (k % 6).cast("int"))
+    named = ad.table(spark, sf_dir, "customer").join(ad.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    artist = F.concat("n_name", F.lit(" "), last, F.when(k % 7 == 0, " & Sons").otherwise(""))
+    return named.select(k.alias("id"), tx.family_key(artist).alias("family"), tx.slug(artist).alias("slug"))
 
 
 @query(r"SELECT event_id, strftime(ts, '%Y')::INT AS year, try_cast(strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) IS NOT NULL AS valid FROM events")
@@ -110,16 +127,16 @@ def agg17_artist_profile(spark, sf_dir):
 
 SOURCES = """
 base AS (SELECT song_id, regexp_replace(lower(title || song_id), '[^a-z0-9]+', '', 'g') AS title_key, regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS artist_key, genre, year::VARCHAR AS year, duration_ms::VARCHAR AS duration FROM songs),
-one AS (SELECT title_key, artist_key, CASE WHEN song_id % 4 <> 0 THEN genre END AS genre, NULL::VARCHAR AS year, duration FROM base WHERE song_id % 3 <> 0),
-two AS (SELECT title_key, artist_key, 'b:' || genre AS genre, year, CASE WHEN song_id % 5 = 0 THEN ' ' ELSE '0' END AS duration FROM base WHERE song_id % 2 = 0),
-three AS (SELECT title_key, artist_key, NULL::VARCHAR AS genre, '1900' AS year, NULL::VARCHAR AS duration FROM base WHERE song_id % 5 = 0),
+one AS (SELECT title_key, artist_key, CASE WHEN song_id % 4 <> 0 THEN genre END AS genre, NULL::VARCHAR AS year, duration, NULL::VARCHAR AS score FROM base WHERE song_id % 3 <> 0),
+two AS (SELECT title_key, artist_key, 'b:' || genre AS genre, year, CASE WHEN song_id % 5 = 0 THEN ' ' ELSE '0' END AS duration, (song_id * 7 % 130)::VARCHAR AS score FROM base WHERE song_id % 2 = 0),
+three AS (SELECT title_key, artist_key, NULL::VARCHAR AS genre, '1900' AS year, NULL::VARCHAR AS duration, NULL::VARCHAR AS score FROM base WHERE song_id % 5 = 0),
 every AS (SELECT 0 AS trust, 'one' AS source, * FROM one UNION ALL SELECT 1, 'two', * FROM two UNION ALL SELECT 2, 'three', * FROM three),
-clean AS (SELECT trust, source, title_key, artist_key, nullif(trim(genre), '') AS genre, nullif(trim(year), '') AS year, nullif(trim(duration), '') AS duration FROM every),
+clean AS (SELECT trust, source, title_key, artist_key, nullif(trim(genre), '') AS genre, nullif(trim(year), '') AS year, nullif(trim(duration), '') AS duration, nullif(trim(score), '') AS score FROM every),
 merged AS (
     SELECT title_key, artist_key, arg_min(genre, trust) FILTER (WHERE genre IS NOT NULL) AS genre, arg_min(year, trust) FILTER (WHERE year IS NOT NULL) AS year,
-           arg_min(duration, trust) FILTER (WHERE duration IS NOT NULL) AS duration,
+           arg_min(duration, trust) FILTER (WHERE duration IS NOT NULL) AS duration, arg_min(score, trust) FILTER (WHERE score IS NOT NULL) AS score,
            coalesce(string_agg(source, ',' ORDER BY trust) FILTER (WHERE genre IS NOT NULL), '') AS genre_from, coalesce(string_agg(source, ',' ORDER BY trust) FILTER (WHERE year IS NOT NULL), '') AS year_from,
-           coalesce(string_agg(source, ',' ORDER BY trust) FILTER (WHERE duration IS NOT NULL), '') AS duration_from, count(DISTINCT source) AS n_sources FROM clean GROUP BY ALL)
+           coalesce(string_agg(source, ',' ORDER BY trust) FILTER (WHERE duration IS NOT NULL), '') AS duration_from, list_sort(list(DISTINCT source)) AS sources FROM clean GROUP BY ALL)
 """
 
 
@@ -128,29 +145,31 @@ def _merged(spark, sf_dir):
     k = F.col("song_id")
     base = s.select("song_id", tx.identity(F.concat("title", k.cast("string")), accents=False).alias("title_key"), tx.identity(F.col("artist"), accents=False).alias("artist_key"), "genre", "year", "duration_ms")
     keys = ["title_key", "artist_key"]
-    one = base.where(k % 3 != 0).select(*keys, F.when(k % 4 != 0, F.col("genre")).alias("genre"), F.lit(None).cast("string").alias("year"), F.col("duration_ms").alias("duration"))
-    two = base.where(k % 2 == 0).select(*keys, F.concat(F.lit("b:"), "genre").alias("genre"), "year", F.when(k % 5 == 0, " ").otherwise("0").alias("duration"))
-    three = base.where(k % 5 == 0).select(*keys, F.lit(None).cast("string").alias("genre"), F.lit("1900").alias("year"), F.lit(None).cast("string").alias("duration"))
-    return ct.merged_records([("one", one), ("two", two), ("three", three)], ["genre", "year", "duration"])
+    one = base.where(k % 3 != 0).select(*keys, F.when(k % 4 != 0, F.col("genre")).alias("genre"), F.lit(None).cast("string").alias("year"), F.col("duration_ms").alias("duration"), F.lit(None).cast("string").alias("score"))
+    two = base.where(k % 2 == 0).select(*keys, F.concat(F.lit("b:"), "genre").alias("genre"), "year", F.when(k % 5 == 0, " ").otherwise("0").alias("duration"), (k * 7 % 130).cast("string").alias("score"))
+    three = base.where(k % 5 == 0).select(*keys, F.lit(None).cast("string").alias("genre"), F.lit("1900").alias("year"), F.lit(None).cast("string").alias("duration"), F.lit(None).cast("string").alias("score"))
+    return ct.merged_records([("one", one), ("two", two), ("three", three)], ["genre", "year", "duration", "score"])
 
 
-@query(SOURCES + "SELECT * FROM merged")
+@query(SOURCES + "SELECT * EXCLUDE (score, sources), array_to_string(sources, ',') AS sources FROM merged")
 def jn10_sc34_sc35_entity_merge(spark, sf_dir):
-    return _merged(spark, sf_dir)
+    return _merged(spark, sf_dir).drop("score", "score_from").withColumn("sources", F.array_join("sources", ","))
 
 
 @query(SOURCES + """
-SELECT title_key, artist_key, (20 + CASE WHEN n_sources > 1 THEN 20 ELSE 0 END + CASE WHEN year IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN n_sources > 2 THEN 25 ELSE 0 END
-    + floor(10 * ((genre IS NOT NULL)::INT + (year IS NOT NULL)::INT + (duration IS NOT NULL)::INT) / 3.0::DOUBLE + 0.5) + CASE WHEN genre IS NOT NULL THEN 10 ELSE 0 END)::BIGINT AS confidence100 FROM merged
+SELECT title_key, artist_key, least(10000, (list_contains(sources, 'one'))::INT * 2000 + CASE WHEN list_contains(sources, 'two') THEN 20 * least(100, greatest(0, coalesce(nullif(score::INT, 0), 100))) ELSE 0 END
+    + (list_contains(sources, 'three') AND year IS NOT NULL)::INT * 1500 + (len(sources) > 1)::INT * 2500
+    + floor(1000 * (2 + (genre IS NOT NULL)::INT + (year IS NOT NULL)::INT + (duration IS NOT NULL)::INT) / 5.0::DOUBLE + 0.5) + (genre IS NOT NULL)::INT * 1000)::BIGINT AS confidence4 FROM merged
 """)
 def agg23_confidence(spark, sf_dir):
     m = _merged(spark, sf_dir)
-    c = ct.confidence(m, ["genre", "year", "duration"], F.col("year").isNotNull(), F.col("genre").isNotNull())
-    return m.select("title_key", "artist_key", c.cast("bigint").alias("confidence100"))
+    c = ct.confidence(m, ("one", "two", "three"), F.col("score"), F.col("year").isNotNull(), ["title_key", "artist_key", "genre", "year", "duration"], F.col("genre").isNotNull())
+    return m.select("title_key", "artist_key", c.alias("confidence4"))
 
 
 @query(TITLES + """
-SELECT artist, title, song_id FROM (SELECT *, row_number() OVER (PARTITION BY artist, title ORDER BY CASE song_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END DESC, song_id) AS n FROM titled) WHERE n = 1
+SELECT artist, title, song_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY artist, title ORDER BY CASE kind WHEN 'remastered' THEN 3 WHEN 'original' THEN 2 WHEN 'live' THEN 1 WHEN 'cover' THEN 1 ELSE 0 END DESC, song_id) AS n FROM kinds) WHERE n = 1
 """)
 def win9_version_pick(spark, sf_dir):
     t = _titled(spark, sf_dir)
@@ -202,11 +221,21 @@ def flt6_flt7_session_filter(spark, sf_dir):
     return se.first_by_signature_with_cap(kept, ["user_id"], [F.col("at")], 2).select("user_id", "song_id", "nth")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'british' WHEN 1 THEN 'jazz,rock' WHEN 2 THEN 'dream pop' ELSE 'uk rock,british' END AS terms FROM events""")
+@query("""
+given AS (
+    SELECT song_id, list_filter(list_transform([genre, split_part(title, ' ', 1), ['UK rock', 'Rock', 'dream  pop', 'Jazz', 'english_rock', '', 'BritPop'][song_id % 7 + 1], ['pop', 'rock', 'soul'][song_id % 3 + 1]],
+        lambda x: lower(trim(regexp_replace(x, '[\\s_]+', ' ', 'g')))), lambda x: x <> '') AS terms FROM songs),
+placed AS (SELECT song_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM given),
+wide AS (
+    SELECT song_id, term, pos * 2 AS pos FROM placed
+    UNION ALL SELECT song_id, 'british', pos * 2 + 1 FROM placed WHERE term IN ('british rock', 'uk rock', 'english rock', 'britpop')),
+once AS (SELECT song_id, term, min(pos) AS pos, term IN ('rock', 'pop', 'jazz', 'electronic', 'folk', 'soul', 'punk', 'metal', 'country', 'blues', 'classical', 'ambient') AS broad FROM wide GROUP BY ALL)
+SELECT song_id, string_agg(term, ',' ORDER BY pos) AS terms FROM (SELECT *, bool_and(broad) OVER (PARTITION BY song_id) AS only_broad FROM once) WHERE only_broad OR NOT broad GROUP BY song_id
+""")
 def flt8_effective_terms(spark, sf_dir):
-    m = F.col("event_id") % 4
-    given = F.when(m == 0, F.array(F.lit("Rock"), F.lit("british"))).when(m == 1, F.array(F.lit("jazz"), F.lit("Rock"), F.lit("jazz"))).when(m == 2, F.array(F.lit("Dream  Pop"), F.lit("pop"))).otherwise(F.array(F.lit("UK rock"), F.lit("rock")))
-    return ad.table(spark, sf_dir, "events").select("event_id", F.array_join(se.effective_terms(given), ",").alias("terms"))
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (F.col("song_id") % n).cast("int"))
+    given = F.array("genre", F.get(F.split("title", " "), F.lit(0)), pick(("UK rock", "Rock", "dream  pop", "Jazz", "english_rock", "", "BritPop"), 7), pick(("pop", "rock", "soul"), 3))
+    return ad.songs(spark, sf_dir).select("song_id", F.array_join(se.effective_terms(given), ",").alias("terms"))
 
 
 @query("""SELECT song_id, CASE WHEN song_id % 2 = 0 THEN song_id % 3 = 1 ELSE (song_id % 3 = 1 OR song_id % 5 = 0 OR year >= 1995) END AS relevant FROM songs""")
@@ -217,10 +246,13 @@ def flt10_relevance(spark, sf_dir):
     return ad.songs(spark, sf_dir).select("song_id", se.relevant(b, final, k % 2 == 0, k % 2 == 0).alias("relevant"))
 
 
-@query("SELECT song_id, year FROM songs WHERE year >= 2000")
+@query("""
+requests AS (SELECT song_id, year, 'songs post-' || (1960 + song_id * 13 % 70) || ' please' AS q FROM songs)
+SELECT song_id, year FROM requests WHERE year >= regexp_extract(q, 'post-(\\d{4})', 1)::INT
+""")
 def flt12_minimum_year(spark, sf_dir):
-    least = F.regexp_extract(F.lit("post-2000 songs"), r"post-(\d{4})", 1).cast("int")
-    return ad.songs(spark, sf_dir).where(F.col("year") >= least).select("song_id", "year")
+    q = F.concat(F.lit("songs post-"), (F.lit(1960) + F.col("song_id") * 13 % 70).cast("string"), F.lit(" please"))
+    return ad.songs(spark, sf_dir).withColumn("least", F.regexp_extract(q, r"post-(\d{4})", 1).try_cast("int")).where("year >= least").select("song_id", "year")
 
 
 EXTERNAL = """
@@ -245,11 +277,10 @@ def win6_running_penalties(spark, sf_dir):
 
 @query()
 def win7_adjacency(spark, sf_dir):
-    from pyspark.sql import Window
-
-    r = _external(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("list_id", "family").orderBy(F.desc("base3"), "song_id")))
-    lists = r.select(F.concat_ws("/", "list_id", F.floor(F.col("rank") / 4).cast("string")).alias("list_id"), "song_id", F.col("family").alias("artist"), "cluster", (F.lit(1000) - F.col("base3")).alias("rank"))
-    return lists.groupBy("list_id").applyInPandas(lambda p: se.adjacent_diversity(p.sort_values(["rank", "song_id"])), "list_id string, pos long, song_id long")
+    """The hundred best of each asked user, reordered as a whole list."""
+    songs = ad.songs(spark, sf_dir).select("song_id", "artist", F.col("genre").alias("cluster"))
+    lists = rt.top_candidates(scored(spark, sf_dir, 100), 100).select(F.col("user_id").alias("list_id"), "song_id", "rank").join(songs, "song_id")
+    return lists.groupBy("list_id").applyInPandas(se.adjacent_diversity, "list_id long, pos long, song_id long")
 
 
 @query(EXTERNAL + """,
@@ -298,35 +329,44 @@ def jn17_similar_artists(spark, sf_dir):
     return se.similar_artists(e.select(F.col("s_name").alias("source_artist"), F.col("n_name").alias("name"), F.floor("s_acctbal").cast("bigint").alias("score")))
 
 
-@query(PREFS + """,
+@query(GRID.replace("{k}", "20") + "," + PREFS + """,
 labels AS (SELECT DISTINCT song_id, CASE WHEN field = 'genres' THEN 'genre' ELSE 'tag' END AS kind, label FROM tags),
-met AS (SELECT user_id, song_id, kind, label, row_number() OVER (PARTITION BY user_id, song_id ORDER BY weight4 DESC, kind, label) AS n FROM prefs JOIN labels USING (kind, label) WHERE user_id % 20 = 0)
+met AS (SELECT user_id, song_id, kind, label, row_number() OVER (PARTITION BY user_id, song_id ORDER BY weight4 DESC, kind, label) AS n FROM top JOIN labels USING (song_id) JOIN prefs USING (user_id, kind, label))
 SELECT user_id, song_id, string_agg(kind || ':' || label, ',' ORDER BY n) AS evidence FROM met WHERE n <= 3 GROUP BY ALL
 """)
 def sc31_tl7_tl16_evidence(spark, sf_dir):
+    """Evidence for the tracks that each asked user is recommended."""
     songs, tags = ad.songs(spark, sf_dir), ad.tags(spark, sf_dir)
     prefs = fb.rebuilt_preferences(ad.collection(spark, sf_dir).where("user_id % 20 = 0"), songs, tags)
-    return se.evidence(prefs, songs, tags)
+    return se.evidence(rt.top_candidates(scored(spark, sf_dir, 20), 20), prefs, tags)
 
 
 @query("""
 c AS (SELECT user_id, list(DISTINCT song_id % 25) AS s FROM collection GROUP BY user_id)
 SELECT a.user_id AS l, b.user_id AS r, len(list_intersect(a.s, b.s))::BIGINT AS both, (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::BIGINT AS either, (len(a.s) - len(list_intersect(a.s, b.s)))::BIGINT AS only_l
-FROM c a JOIN c b ON a.user_id % 20 = 0 AND b.user_id = a.user_id + 1
+FROM c a JOIN c b ON b.user_id = a.user_id + 1
 """)
 def set1_set4_set_operations(spark, sf_dir):
     c = ad.collection(spark, sf_dir).groupBy("user_id").agg(F.collect_set(F.col("song_id") % 25).alias("s"))
-    a, b = c.where("user_id % 20 = 0").select(F.col("user_id").alias("l"), F.col("s").alias("x")), c.select(F.col("user_id").alias("r"), F.col("s").alias("y"))
+    a, b = c.select(F.col("user_id").alias("l"), F.col("s").alias("x")), c.select(F.col("user_id").alias("r"), F.col("s").alias("y"))
     n = lambda x: F.size(x).cast("bigint")
     return a.join(b, F.col("r") == F.col("l") + 1).select("l", "r", n(F.array_intersect("x", "y")).alias("both"), n(F.array_union("x", "y")).alias("either"), n(F.array_except("x", "y")).alias("only_l"))
 
 
 @query(r"""
-asked AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'give me 12 songs like jazz' WHEN 1 THEN 'why this one?' WHEN 2 THEN 'more  diverse rock' WHEN 3 THEN '3首 不要rock 的 pop' ELSE event_type END AS q FROM events)
-SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'question' WHEN 2 THEN 'more' ELSE 'recommend' END AS intent, CASE event_id % 5 WHEN 0 THEN 12 WHEN 3 THEN 3 ELSE 10 END AS top_k,
-       CASE event_id % 5 WHEN 2 THEN 1 ELSE 2 END AS max_per_artist, 0 AS min_score100, CASE event_id % 5 WHEN 0 THEN 'jazz' WHEN 2 THEN 'rock' WHEN 3 THEN 'pop' ELSE '' END AS genres FROM asked
+asked AS (
+    SELECT song_id, ['give me ', 'more ', 'why ', 'find  ', '再来', '高度相似 ', 'not '][song_id % 7 + 1] || ['12 songs', '3首', '77 Songs', 'diverse music', 'tracks', '类似'][song_id % 6 + 1] || ' like ' || genre || ' ' || ['rock', 'jazz', 'not pop', 'soul', '不要rock', '排除 jazz'][song_id % 5 + 1] AS q FROM songs),
+low AS (SELECT song_id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS l, try_cast(regexp_extract(q, '(?i)(\d{1,2})\s*(?:首歌|首|songs?)', 1) AS INT) AS n FROM asked)
+SELECT song_id, CASE WHEN regexp_matches(l, 'why|who is|what is|为什么|是谁|介绍') THEN 'question' WHEN regexp_matches(l, 'more|another batch|换一批|再来|类似|更像') THEN 'more' ELSE 'recommend' END AS intent,
+       CASE WHEN n IS NULL THEN 10 ELSE greatest(1, least(50, n)) END AS top_k, CASE WHEN regexp_matches(l, 'diverse|one per artist|多样|不同歌手') THEN 1 ELSE 2 END AS max_per_artist,
+       CASE WHEN contains(l, '高度相似') THEN 30 WHEN regexp_matches(l, '相似|差不多|类似') THEN 10 ELSE 0 END AS min_score100,
+       array_to_string(list_filter(['rock', 'jazz', 'pop', 'soul', 'folk', 'electronic', 'punk', 'metal', 'funk', 'country', 'blues', 'classical', 'ambient'], lambda g: contains(l, g) AND NOT regexp_matches(l, '(?:not |不要|排除|避开)\s*' || g)), ',') AS genres FROM low
 """)
 def sc36_sc37_request_fields(spark, sf_dir):
-    m = F.col("event_id") % 5
-    q = F.when(m == 0, "give me 12 songs like jazz").when(m == 1, "why this one?").when(m == 2, "more  diverse rock").when(m == 3, "3首 不要rock 的 pop").otherwise(F.col("event_type"))
-    return ad.table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in se.request_fields(q).items()])
+    k = F.col("song_id")
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (k % n).cast("int"))
+    q = F.concat(
+        pick(("give me ", "more ", "why ", "find  ", "再来", "高度相似 ", "not "), 7), pick(("12 songs", "3首", "77 Songs", "diverse music", "tracks", "类似"), 6),
+        F.lit(" like "), "genre", F.lit(" "), pick(("rock", "jazz", "not pop", "soul", "不要rock", "排除 jazz"), 5),
+    )
+    return ad.songs(spark, sf_dir).select("song_id", *[c.alias(n) for n, c in se.request_fields(q).items()])

@@ -143,13 +143,28 @@ def win2_artist_cap(spark, sf_dir):
     return rt.artist_cap(scored(spark, sf_dir), 3).select("user_id", "artist", "song_id", "nth")
 
 
-@query()
-def win3_capped_distinct(spark, sf_dir):
+@query(GRID.replace("{k}", "20") + r""",
+keyed AS (SELECT song_id, duration_ms, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM songs),
+dup AS (SELECT DISTINCT c.user_id, o.song_id FROM asked c JOIN keyed k ON k.song_id = c.seed JOIN keyed o ON o.a = k.a AND o.t = k.t AND o.song_id <> k.song_id AND abs(o.duration_ms - k.duration_ms) <= 10000),
+pool AS (
+    SELECT user_id, song_id, similarity, a, t, duration_ms, row_number() OVER (PARTITION BY user_id, a, t ORDER BY similarity DESC, song_id) AS n
+    FROM final JOIN keyed USING (song_id) WHERE similarity > 0 AND NOT EXISTS (SELECT 1 FROM dup WHERE dup.user_id = final.user_id AND dup.song_id = final.song_id)),
+second AS (
+    SELECT p.user_id, p.a, p.t, min(p.n) AS n FROM pool p JOIN pool f ON f.n = 1 AND f.user_id = p.user_id AND f.a = p.a AND f.t = p.t AND abs(f.duration_ms - p.duration_ms) > 10000 GROUP BY ALL),
+picked AS (
+    SELECT p.*, row_number() OVER (PARTITION BY p.user_id, p.a ORDER BY similarity DESC, song_id) AS nth
+    FROM pool p LEFT JOIN second s USING (user_id, a, t) WHERE p.n = 1 OR p.n = s.n)
+SELECT user_id, rank, song_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, song_id) AS rank FROM picked WHERE nth <= 2) WHERE rank <= 20
+""")
+def jn3_win3_distinct_selection(spark, sf_dir):
     from melisma.functions import text
 
-    songs = ad.songs(spark, sf_dir).select("song_id", "duration_ms", text.alnum_words(F.col("artist")).alias("artist_key"), text.canonical_title(F.col("title")).alias("title_key"))
-    pool = scored(spark, sf_dir).where("similarity != 0").select("user_id", "song_id", "similarity").join(songs, "song_id")
-    return pool.groupBy("user_id").applyInPandas(lambda p: rt.capped_distinct(p, TOP_K, 3), "user_id long, rank long, song_id long")
+    songs = ad.songs(spark, sf_dir)
+    keyed = songs.select("song_id", "duration_ms", text.alnum_words(F.col("artist")).alias("artist_key"), text.canonical_title(F.col("title")).alias("title_key"))
+    mine = ad.collection(spark, sf_dir).where("user_id % 20 = 0")
+    pool = scored(spark, sf_dir).where("similarity != 0").select("user_id", "song_id", "similarity")
+    pool = pool.join(rt.duplicate_versions(mine, songs), ["user_id", "song_id"], "left_anti").join(keyed, "song_id")
+    return rt.distinct_capped(pool, TOP_K, 2)
 
 
 @query("SELECT song_id, label, max(w) AS w FROM tags WHERE field <> 'genres' GROUP BY ALL")
