@@ -2,7 +2,7 @@
 
 The ids of all documents, in ascending order of id, form one stream. Range partitions of documents are encoded and
 written as Arrow IPC files in the shared folder: one file of sequences for each partition (record batches with the
-fixed-size-list columns ``ids`` and ``mask``; the last sequence is padded and its mask is 0 there), and one file
+fixed-size-list columns ``ids`` and ``mask``, a byte each; the last sequence is padded and its mask is 0 there), and one file
 with a row for each document (id, start in this partition, tokens). Memory-mapped, any sequence is reached without
 copying. Ids are stored as 16-bit numbers if the vocabulary allows, else as 32-bit ones.
 
@@ -113,7 +113,7 @@ class _Sequences:
     def __init__(self, store: fs.FileSystem, path: str, dtype: np.dtype, length: int):
         self.length, self.dtype, self.rest, self.n = length, dtype, b"", 0
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = store.open_output_stream(path)
         self.file = ipc.new_file(self.out, self.schema)
 
@@ -126,7 +126,7 @@ class _Sequences:
             self.rest = self.rest[block:]
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < real)
+        mask = pa.array((np.arange(len(ids)) < real).astype(np.uint8))
         lists = [pa.FixedSizeListArray.from_arrays(a, self.length) for a in (pa.array(ids), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -183,23 +183,36 @@ def write_sequences(docs: DataFrame, tokenizer_file: str, end_id: int = 0, lengt
 
 
 class SequenceReader:
-    """Random access to the sequences of one file; local files are memory-mapped, nothing is copied."""
+    """Random access to the sequences of one file. Local files are memory-mapped and nothing is copied; of others the
+    last batch is kept, so that documents in order read each batch once. Close it, or use it as a context."""
 
     def __init__(self, uri: str):
         store, path = _store(uri)
         self.source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
         self.file = ipc.open_file(self.source)
-        self.batches, self.at = [self.file.get_batch(i) for i in range(self.file.num_record_batches)] if isinstance(store, fs.LocalFileSystem) else None, -1
+        self.at, self.last = -1, None
         self.length = self.file.schema.field("ids").type.list_size
 
+    def __enter__(self) -> SequenceReader:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.last = None
+        self.source.close()
+
     def batch(self, i: int) -> pa.RecordBatch:
-        return self.batches[i] if self.batches is not None else self.file.get_batch(i)
+        if i != self.at:
+            self.at, self.last = i, self.file.get_batch(i)
+        return self.last
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and mask of the i-th sequence."""
         batch, row = self.batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
         ids, mask = (batch.column(k)[row].values for k in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop`` (exclusive) of this file's stream."""
@@ -221,9 +234,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                reader = SequenceReader(row["sequences"])
                 store, path = _store(row["documents"])
-                with store.open_input_file(path) as source:
+                with SequenceReader(row["sequences"]) as reader, store.open_input_file(path) as source:
                     index = ipc.open_file(source)
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from melisma.llm import chat, contamination, jaccard, mixing, packing, quality, secrets, sharding, tokens, urls
 from melisma.llm.sql import ORACLES
+from melisma.llm.text import null_key
 
 #: The URL rules.
 RULES = (
@@ -100,13 +101,13 @@ def _joined(spans: Column) -> Column:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    found = secrets.find_secrets(docs, ["doc_id", "lang", "source"], owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    found = secrets.find_secrets(docs, ["doc_id", "lang", "source"], owner=F.col("source"), repository=F.concat(null_key(F.col("source")), F.lit("/"), null_key(F.col("lang"))))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     kinds = F.array(*[F.lit(k) for k in (*secrets.KINDS, "owned")])
     placed = F.transform(F.concat("base", "owned"), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.select(
         "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.sort_array(placed)).alias("spans"),
-        F.size("owned").cast("long").alias("n_owned"), F.col("n_shared").cast("long").alias("n_shared"),
+        F.size("owned").cast("long").alias("n_owned"), F.col("n_shared").cast("long").alias("n_shared"), "owners", "repositories",
     )
 
 

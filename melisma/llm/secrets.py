@@ -1,16 +1,20 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Base spans come from three fixed patterns. The method looks at every long mixed string (a candidate), hashes it,
-and counts over the corpus the distinct repositories and owners that hold it. Candidates of a single owner that
-look live (high entropy) become further spans of kind ``owned``; strings copied across owners are examples and
-add nothing.
+and counts over the corpus the distinct texts, repositories and owners that hold it. A live-looking candidate (high
+entropy) is owner-specific, and becomes a further span of kind ``owned``, unless it is widely copied: held by at
+least ``WIDE_TEXTS`` different texts that come from at least ``WIDE_OWNERS`` owners or ``WIDE_REPOSITORIES``
+repositories. Copies of one whole text are one text, so a copied document doesn't make its own secret an example, and
+a string in many texts of one owner stays that owner's.
 
-Texts are scanned once, each on its own. Only candidates move: distinct (candidate, owner, repository) rows are
+Texts are scanned once, each on its own. Only candidates move: distinct (candidate, text, owner, repository) rows are
 formed first, with partial aggregation, so that a string found in a third of all rows is no single task. The
 narrow scan result is a written table, so nothing is scanned again if an executor is lost.
 
 Defined results: a null text is empty; a null owner or repository counts as one of its own; repeated rows get equal
-results; base spans stay whatever the method finds; an empty input gives an empty output.
+results, and so do rows of equal text; base spans stay whatever the method finds; texts are scanned whole, whatever
+their length; of the input only the columns ``keep`` are handed on, and these mustn't be named base, candidates,
+text_hash, owned or those of the counts; an empty input gives an empty output.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ KEYWORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}", re.ASCII)
 #: Bits for each character that a live-looking candidate has at least.
 MIN_ENTROPY = 3.0
-MAX_OWNERS = 1
+#: A candidate in so many different texts, from so many owners or repositories, is a widely copied example.
+WIDE_TEXTS, WIDE_OWNERS, WIDE_REPOSITORIES = 3, 2, 3
 
 SCHEMA = "base array<struct<kind:string,start:long,end:long>>, candidates array<struct<hash:string,start:long,end:long>>"
 
@@ -85,27 +90,35 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """hash, owners, repositories: how many distinct ones hold each candidate."""
-    held = found.select(F.explode("candidates.hash").alias("hash"), null_key(owner).alias("o"), null_key(repository).alias("r"))
-    distinct = held.groupBy("hash", "o", "r").agg(F.lit(1).alias("one"))
-    by_owner = distinct.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("r"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
+    """hash, texts, owners, repositories: how many distinct ones hold each candidate.
+
+    Distinct triples first; then each count is a distinct one over pairs that are far fewer than the rows.
+    """
+    held = found.select(F.explode("candidates.hash").alias("hash"), "text_hash", null_key(owner).alias("o"), null_key(repository).alias("r")).distinct()
+    counted = lambda c, name: held.select("hash", c).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias(name))
+    return counted("text_hash", "texts").join(counted("o", "owners"), "hash").join(counted("r", "repositories"), "hash")
+
+
+def widely_copied(texts: Column, owners: Column, repositories: Column) -> Column:
+    return (texts >= WIDE_TEXTS) & ((owners >= WIDE_OWNERS) | (repositories >= WIDE_REPOSITORIES))
 
 
-def find_secrets(docs: DataFrame, keep: list[str], owner: Column, repository: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, keep: list[str], owner: Column, repository: Column) -> DataFrame:
     """The columns ``keep`` of ``docs`` (at least those of owner, repository) with base and owned spans.
 
-    base and owned: array<struct<kind, start, end>> by start; n_shared: candidates that other owners hold too.
+    base and owned: array<struct<kind, start, end>> by start; n_shared: candidates that are widely copied; owners and
+    repositories: the most that hold a candidate of the row (null without candidates).
     """
     found = written(scan(docs, keep), "secret-scan")
     counts = written(ownership(found, owner, repository), "ownership")
     # Spans depend on the text alone, so each distinct text with candidates joins once.
     texts = found.where(F.size("candidates") > 0).groupBy("text_hash").agg(F.first("candidates").alias("c"))
     spans = texts.select("text_hash", F.inline("c")).join(counts, "hash", "left")
-    own = F.col("owners") <= max_owners
+    wide = widely_copied(F.col("texts"), F.col("owners"), F.col("repositories"))
     marked = spans.groupBy("text_hash").agg(
-        F.sort_array(F.collect_list(F.when(own, F.struct("start", "end")))).alias("o"), F.sum((~own).cast("long")).alias("n_shared")
-    )
+        F.sort_array(F.collect_list(F.when(~wide, F.struct("start", "end")))).alias("o"), F.sum(wide.cast("long")).alias("n_shared"),
+        F.max("owners").alias("owners"), F.max("repositories").alias("repositories"),
+    )
     owned = F.transform(F.coalesce("o", F.array().cast("array<struct<start:long,end:long>>")), lambda s: F.struct(F.lit("owned").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     joined = found.join(written(marked, "owned-spans"), "text_hash", "left")
-    return joined.select(*[found[c] for c in keep], "base", owned.alias("owned"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return joined.select(*[found[c] for c in keep], "base", owned.alias("owned"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"), "owners", "repositories")

@@ -10,7 +10,7 @@ Outcomes are pre-aggregated by host before anything else moves; host tables are
 
 Defined results: a null url, or one without ``://``, has empty host and path and takes the prior's verdict; no
 labels at all give ``allow``; of several fitting rules the longest wins, then the first by text; rules beat the
-reputation; rows are judged one by one, so repeated rows are kept; columns named like the new ones are replaced.
+reputation; rows are judged one by one, so repeated rows are kept; columns named like the new ones are replaced; urls are taken whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ BLOCK_ABOVE = 0.5
 Z = 1.645
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered; all others are one label.
+#: Default suffixes of two labels under which names are registered; all others are one label. A parameter: pass a
+#: longer list, a few thousand entries at most, where the corpus needs it.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
 
 
@@ -43,14 +44,14 @@ def path_of(url: Column) -> Column:
     return F.when(F.coalesce(F.contains(url, F.lit("://")), F.lit(False)), path).otherwise("")
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(last)
+    return F.when(two.isin(*suffixes), two).otherwise(last)
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), three).otherwise(two)
+    return F.when(two.isin(*suffixes), three).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -78,7 +79,7 @@ def _strength(level: DataFrame) -> DataFrame:
     return sums.select(F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), F.coalesce(guarded, F.lit(1.0)))).alias("strength"))
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, n, k, posterior mean ``rate`` and lower bound ``low`` for each row of ``hosts`` (host, distinct).
 
     outcomes: (host, bad) with bad 0 or 1, or null if unlabelled. One row for each host passes on; the one-row
@@ -86,7 +87,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     """
     counted = outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     counted = hosts.join(counted, "host", "left").fillna(0, ["n", "k"])
-    by_host = written(counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    by_host = written(counted.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "hosts")
     by_domain = written(by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     by_suffix = written(by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
     (top, s_suffix, s_domain, s_host) = (
@@ -103,15 +104,15 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     return low.select("host", "n", "k", mean.alias("rate"), (mean - F.lit(z) * sd).alias("low"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], block_above: float = BLOCK_ABOVE, z: float = Z) -> DataFrame:
-    """``pages`` (url, ...) with host, path, rule, host_pages_n, host_pages_bad, bad_low and verdict.
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], block_above: float = BLOCK_ABOVE, z: float = Z, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """``pages`` (url, ...) with host, path, rule, verdict, host_n, host_bad and bad_low.
 
     outcomes: (url, bad), the labelled pages.
     """
     plain = pages.drop("host", "path", "rule", "verdict", "host_n", "host_bad", "bad_low")
     parsed = plain.withColumn("host", host_of(plain["url"])).withColumn("path", path_of(plain["url"]))
     hosts = parsed.select("host").distinct()
-    judged = host_reputation(hosts, outcomes.select(host_of(F.col("url")).alias("host"), "bad"), z)
+    judged = host_reputation(hosts, outcomes.select(host_of(F.col("url")).alias("host"), "bad"), z, suffixes)
     table = written(judged.select("host", F.col("n").alias("host_n"), F.col("k").alias("host_bad"), F.col("low").alias("bad_low")), "reputation")
     ruled = parsed.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).join(table, "host", "left")
     own = F.when(F.col("bad_low") > block_above, "block").otherwise("allow")

@@ -289,7 +289,7 @@ def test_token_files(spark, docs, empty):
     first = made.orderBy("part").first()
     reader = packing.SequenceReader(first.sequences)
     ids, mask = reader.sequence(0)
-    assert len(ids) == len(mask) == 64 and (reader.ids(0, 5) == ids[:5]).all()
+    assert len(ids) == len(mask) == 64 and mask.dtype == np.uint8 and (reader.ids(0, 5) == ids[:5]).all()
     last = reader.sequence((first.n_ids - 1) // 64)
     assert last[1].sum() == (first.n_ids - 1) % 64 + 1
     assert packing.read_documents(packing.write_sequences(empty, queries._model("byte_bpe_50k.json"))).isEmpty()
@@ -477,6 +477,16 @@ def test_bad_hosts_are_blocked(spark):
     assert got == {"bad.x.net": "block", "good1.x.net": "allow", "new.x.net": "allow"}
 
 
+def test_names_under_two_label_suffixes(spark):
+    rows = [(f"http://bad{j}.co.uk/{i}", 1) for j in range(4) for i in range(30)] + [(f"http://good{j}.co.uk/{i}", 0) for j in range(40) for i in range(30)]
+    pages = spark.createDataFrame([("http://www.bad1.co.uk/q",), ("http://www.good1.co.uk/q",), ("http://new.co.uk/",)], "url string")
+    got = {r.host: r.verdict for r in urls.judge_urls(pages, spark.createDataFrame(rows, "url string, bad int"), []).collect()}
+    assert got == {"www.bad1.co.uk": "allow", "www.good1.co.uk": "allow", "new.co.uk": "allow"}  # hosts without labels
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("s.t.k12.wy",)], "host string")
+    parts = hosts.select(urls.suffix_of(F.col("host")).alias("s"), urls.domain_of(F.col("host")).alias("d"), urls.domain_of(F.col("host"), ["k12.wy"]).alias("own")).collect()
+    assert [tuple(p) for p in parts] == [("co.uk", "b.co.uk", "co.uk"), ("co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("com", "y.com", "y.com"), ("wy", "k12.wy", "t.k12.wy")]
+
+
 # Mixing
 
 
@@ -527,12 +537,17 @@ def test_base_spans(real, docs):
 
 def test_ownership_separates_examples(spark, empty):
     own, shared = "x9Qk2mZ7pL4vR8tY1wB6", "k3Jd8sHq5Zx1Nc7Vb2Mf"
-    rows = [(1, f"see {own} here", "a", "en"), (2, f"see {shared}", "a", "en"), (3, f"and {shared}", "b", "de"), (4, None, None, None), (None, f"{own}", "a", "de")]
+    copied = "q7Wz3nB8xK5cV1mJ6tH2"
+    rows = [(1, f"see {own} here", "a", "en"), (2, f"see {shared}", "a", "en"), (3, f"and {shared}", "b", "de"), (4, None, None, None), (None, f"{own}", "a", "de"), (5, f"or {shared}", "b", "de")]
+    rows += [(10 + i, f"whole {copied}", f"o{i}", "en") for i in range(4)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     got = {r.doc_id: r for r in secrets.find_secrets(frame, ["doc_id", "source", "lang"], F.col("source"), F.col("lang")).collect()}
     assert [(s.kind, s.start, s.end) for s in got[1].owned] == [("owned", 4, 24)]
     assert got[2].owned == [] and got[2].n_shared == 1 and got[4].owned == []
     assert [(s.start, s.end) for s in got[None].owned] == [(0, 20)]
+    assert (got[2].owners, got[2].repositories) == (2, 2)
+    # A copied document is one text: its secret is no example, whoever holds the copies.
+    assert all(len(got[10 + i].owned) == 1 and got[10 + i].owners == 4 for i in range(4))
     assert secrets.find_secrets(empty, ["doc_id", "source", "lang"], F.col("source"), F.col("lang")).isEmpty()
 
 
