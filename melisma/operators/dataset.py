@@ -136,31 +136,11 @@ def split_manifest(recs: DataFrame, splits: DataFrame) -> DataFrame:
     return recs.join(splits, "user_id").groupBy("split").agg(F.count(F.lit(1)).alias("trajectories"), F.count_distinct("user_id").alias("users"))
 
 
-def preference_groups(samples: DataFrame, least: int = 2) -> DataFrame:
-    """prompt, responses, rewards in input order, for prompts with enough responses and two different rewards."""
-    grouped = samples.groupBy("prompt").agg(F.sort_array(F.collect_list(F.struct("seq", "response", "reward10"))).alias("rows"), F.min("reward10").alias("lo"), F.max("reward10").alias("hi"))
-    return grouped.where((F.size("rows") >= least) & (F.col("lo") != F.col("hi"))).select("prompt", F.col("rows.response").alias("responses"), F.col("rows.reward10").alias("rewards"))
-
-
 def reward_table(groups: DataFrame) -> DataFrame:
     pairs = groups.select(F.inline(F.arrays_zip("responses", "rewards")))
     return pairs.groupBy(F.col("responses").alias("response")).agg(F.max("rewards").alias("reward10"))
 
 
-def turn_pairs(messages: DataFrame) -> DataFrame:
-    """session_id, seq, prompt, response: each assistant turn with the user turn right before it."""
-    order = Window.partitionBy("session_id").orderBy("turn")
-    rows = messages.withColumn("before", F.lag("text").over(order)).withColumn("by", F.lag("role").over(order))
-    return rows.where("role = 'assistant' AND by = 'user'").select("session_id", F.col("turn").alias("seq"), F.col("before").alias("prompt"), F.col("text").alias("response"))
-
-
-def supervised_samples(pairs: DataFrame, threshold10: int) -> DataFrame:
-    """Pairs whose reward reaches the threshold, as prompt and completion texts."""
-    kept = pairs.where(F.col("reward10") >= threshold10)
-    prompt = F.concat_ws("\n", F.lit("Request:"), F.coalesce("prompt", F.lit("")), F.concat(F.lit("Session: "), F.col("session_id").cast("string")))
-    return kept.select("session_id", "seq", prompt.alias("prompt"), F.col("response").alias("completion"))
-
-
 def latest_messages(messages: DataFrame, n: int = K.MESSAGES_KEPT) -> DataFrame:
     """The last n messages of each session."""
     newest = Window.partitionBy("session_id").orderBy(F.desc("turn"))

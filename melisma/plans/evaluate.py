@@ -176,43 +176,6 @@ def sc25_redact(spark, sf_dir):
     return e.select("event_id", ds.redacted(json).alias("props"))
 
 
-PAIRS = """
-turned AS (SELECT *, lag(text) OVER w AS prompt, lag(role) OVER w AS spoke FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
-pairs AS (SELECT session_id, turn AS seq, prompt, text AS response, length(text) % 11 - 5 AS reward10 FROM turned WHERE role = 'assistant' AND spoke = 'user')
-"""
-
-
-def _pairs(spark, sf_dir):
-    return ds.turn_pairs(ad.messages(spark, sf_dir)).withColumn("reward10", F.length("response") % 11 - 5)
-
-
-@query(PAIRS + r"SELECT session_id, seq, 'Request:' || chr(10) || coalesce(prompt, '') || chr(10) || 'Session: ' || session_id AS prompt, response AS completion FROM pairs WHERE reward10 >= 1")
-def flt16_sc33_sft_samples(spark, sf_dir):
-    return ds.supervised_samples(_pairs(spark, sf_dir), 1)
-
-
-GROUPS = PAIRS + """,
-asked AS (SELECT left(coalesce(prompt, ''), 2) AS prompt, session_id * 1000 + seq AS seq, response, reward10 FROM pairs),
-groups AS (SELECT prompt, list(response ORDER BY seq, response, reward10) AS responses, list(reward10 ORDER BY seq, response, reward10) AS rewards FROM asked GROUP BY prompt HAVING count(*) >= 2 AND min(reward10) <> max(reward10))
-"""
-
-
-def _groups(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    return ds.preference_groups(p.select(F.substring(F.coalesce("prompt", F.lit("")), 1, 2).alias("prompt"), (F.col("session_id") * 1000 + F.col("seq")).alias("seq"), "response", "reward10"))
-
-
-@query(GROUPS + "SELECT prompt, len(responses)::BIGINT AS n, sha256(array_to_string(responses, '|')) AS responses, array_to_string(rewards, ',') AS rewards FROM groups")
-def agg18_preference_groups(spark, sf_dir):
-    g = _groups(spark, sf_dir)
-    return g.select("prompt", F.size("responses").cast("bigint").alias("n"), F.sha2(F.array_join("responses", "|"), 256).alias("responses"), F.array_join(F.transform("rewards", lambda x: x.cast("string")), ",").alias("rewards"))
-
-
-@query(GROUPS + "SELECT response, max(reward10) AS reward10 FROM (SELECT unnest(responses) AS response, unnest(rewards) AS reward10 FROM groups) GROUP BY response")
-def agg19_reward_table(spark, sf_dir):
-    return ds.reward_table(_groups(spark, sf_dir))
-
-
 @query("SELECT session_id, turn, from_end FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS from_end FROM messages) WHERE from_end <= 4")
 def win11_latest_messages(spark, sf_dir):
     return ds.latest_messages(ad.messages(spark, sf_dir), 4).select("session_id", "turn", "from_end")

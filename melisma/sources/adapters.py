@@ -71,3 +71,20 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
+
+
+def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day of feedback as an agent's run: user_id, day, query, artists, genres, top_k, decisions, answer, tracks, reward."""
+    f = feedback(spark, sf_dir).join(songs(spark, sf_dir).select("song_id", "title", "artist", "genre"), "song_id")
+    step = F.struct("seq", F.when(F.col("reward10") > 0, F.concat(F.lit("liked "), "title")).alias("thought"), F.col("kind").alias("tool"), "title", "artist", "genre")
+    runs = f.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sort_array(F.collect_list(step)).alias("s"), F.avg("reward10").alias("r"))
+    first, n = F.get("s", F.lit(0)), F.size("s")
+    known = F.col("user_id") % 3 == 0
+    return runs.select(
+        "user_id", "day", F.concat(F.lit(" find me "), first["tool"], F.lit(" music")).alias("query"),
+        F.when(known, F.create_map(F.lit("Zed"), F.lit(1), first["tool"], F.lit(2))).alias("artists"),
+        F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("rock"), F.lit(1))).alias("genres"), F.when(F.col("user_id") % 4 < 2, n).alias("top_k"),
+        F.transform("s", lambda x: F.struct(x["thought"].alias("thought"), x["tool"].alias("tool"))).alias("decisions"),
+        F.when(n > 1, F.concat(F.lit("enjoy "), n.cast("string"))).alias("answer"), F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["artist"].alias("artist"))).alias("tracks"),
+        (F.col("r") / 10).alias("reward"),
+    )
