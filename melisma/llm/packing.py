@@ -2,7 +2,7 @@
 
 The ids of all documents, in ascending order of id, form one stream. Range partitions of documents are encoded and
 written as Arrow IPC files in the shared folder: one file of sequences for each partition (record batches with the
-fixed-size-list columns ``ids`` and ``mask``, a byte each; the last sequence is padded and its mask is 0 there), and one file
+fixed-size-list columns ``ids`` and ``mask``, bits packed into bytes; the last sequence is padded, its mask 0 there), and one file
 with a row for each document (id, start in this partition, tokens). Memory-mapped, any sequence is reached without
 copying. Ids are stored as 16-bit numbers if the vocabulary allows, else as 32-bit ones.
 
@@ -111,9 +111,11 @@ class _Sequences:
     """Writes a stream of ids as batches of equal-length sequences."""
 
     def __init__(self, store: fs.FileSystem, path: str, dtype: np.dtype, length: int):
+        if length % 8:
+            raise ValueError("a sequence's length must be a multiple of 8, since masks are packed bits")
         self.length, self.dtype, self.rest, self.n = length, dtype, b"", 0
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.out = store.open_output_stream(path)
         self.file = ipc.new_file(self.out, self.schema)
 
@@ -126,8 +128,8 @@ class _Sequences:
             self.rest = self.rest[block:]
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array((np.arange(len(ids)) < real).astype(np.uint8))
-        lists = [pa.FixedSizeListArray.from_arrays(a, self.length) for a in (pa.array(ids), mask)]
+        bits = np.packbits(np.arange(len(ids)) < real, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(bits), self.length // 8)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -209,10 +211,10 @@ class SequenceReader:
         return self.last
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of the i-th sequence."""
+        """ids and mask of the i-th sequence, both views of the file: a number for each id, a bit (lowest first) for each place."""
         batch, row = self.batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
-        ids, mask = (batch.column(k)[row].values for k in (0, 1))
-        return ids.to_numpy(), mask.to_numpy()
+        ids, bits = (batch.column(k)[row].values for k in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), bits.to_numpy(zero_copy_only=True)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop`` (exclusive) of this file's stream."""
