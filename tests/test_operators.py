@@ -163,3 +163,49 @@ def test_greedy_queries_keep_their_bounds(spark):
     moved = registry.QUERIES["win7_adjacency"](spark, SF)
     for user, rows in moved.toPandas().sort_values("pos").groupby("list_id"):
         assert list(rows.pos) == list(range(1, len(rows) + 1)) and rows.song_id.is_unique and len(rows) <= 100
+
+
+def test_preferences_by_normalised_artist_and_noise(spark):
+    songs = spark.createDataFrame([(1, "Oasis"), (2, " oasis "), (3, "Blur")], "song_id long, artist string")
+    tags = spark.createDataFrame([(1, "track_tags", t, 10) for t in ("british", "1995", "90s", "3 of 5 stars", "Oasis", "Brit_Pop", "seen live", "wrong track streaming")], "song_id long, field string, label string, w long")
+    mine = spark.createDataFrame([(7, 2, 1), (7, 1, 2), (7, 3, 3)], "user_id long, song_id long, first_order long")
+    got = {(r.kind, r.label): r.weight4 for r in feedback.rebuilt_preferences(mine, songs, tags).collect()}
+    assert got == {("artist", "oasis"): 10000, ("artist", "Blur"): 5000, ("tag", "british"): 10000, ("tag", "brit pop"): 10000}
+
+
+def test_preference_parts_are_weighted_jaccard(spark):
+    songs = spark.createDataFrame([(1, "A", 10)], "song_id long, artist string, confidence10 long")
+    tags = spark.createDataFrame([(1, "genres", "rock", 10000)], "song_id long, field string, label string, w long")
+    prefs = spark.createDataFrame([(7, "genre", "Rock", 10000), (7, "genre", "jazz", 10000), (7, "artist", "a ", 4000)], "user_id long, kind string, label string, weight4 long")
+    pool = spark.createDataFrame([(7, 1, 600000)], "user_id long, song_id long, similarity long")
+    liked = spark.createDataFrame([(7, 1, -300000)], "user_id long, song_id long, score6 long")
+    base = ranking.base_scores(pool, prefs, songs, tags, liked)
+    row = base.withColumn("why", ranking.reasons(F.lit(0.06))).first()
+    assert (row.artist_raw, row.genre_raw, row.tag_raw) == (0.4, 0.5, 0.0)
+    assert row.base == 300000 + 32000 + 70000 + 0 + 100000 - 45000
+    assert row.why == ["strong similarity to the collection seeds", "penalized by negative feedback", "matches the collection genre profile", "matches a preferred artist"]
+
+
+def test_external_caps_and_keys(spark):
+    from melisma.operators import external
+
+    row = lambda i, artist, sig, family, cluster: ("l", i, i, artist, sig, family, cluster)
+    rows = [row(1, "A", "s1", "", "x"), row(2, "B", "s1", "", "y"), row(3, "a", "s3", "f", "x"), row(4, "A", "s4", "", "z"), row(5, "C", "", "f", "x"), row(6, "D", "", "f", "q")]
+    pool = pd.DataFrame(rows, columns=["list_id", "song_id", "rank", "artist", "signature", "family", "cluster"])
+    assert list(external.capped_in_order(pool, 2, 1, 2).song_id) == [1, 3]
+    assert list(external.capped_in_order(pool, 2, 2, 3).song_id) == [1, 3, 5]
+    none = F.lit(None).cast("string")
+    assert one(spark, external.cluster_key(none, F.array(F.lit(" "), F.lit(" Mo ")), F.lit("f"), F.lit("A"))) == "mo"
+    assert one(spark, external.cluster_key(F.lit(" "), F.lit(None).cast("array<string>"), none, F.lit(" A"))) == "a"
+    assert one(spark, text.external_version(F.lit("Song - MTV Unplugged"), none)) == "live_or_session"
+
+
+def test_replaced_profiles_keep_what_they_must(spark):
+    from melisma.operators import profiles
+
+    old = spark.createDataFrame([(1, [5, 6], [1], 0.5, 3), (2, [], [], 0.1, 1)], "user_id long, ids array<long>, feedback array<long>, affinity double, version int")
+    patch = spark.createDataFrame([(1, [6, 7], [9])], "user_id long, new_ids array<long>, new_feedback array<long>")
+    got = {r.user_id: (r.ids, r.feedback, r.affinity, r.version) for r in profiles.replaced(old, patch, False).collect()}
+    assert got == {1: ([6, 7], [9], 0.5, 4), 2: ([], [], 0.1, 1)}
+    got = {r.user_id: (r.ids, r.feedback, r.version) for r in profiles.imported(old, patch).collect()}
+    assert got == {1: ([5, 6, 7], [1, 9], 4), 2: ([], [], 1)}
