@@ -46,3 +46,12 @@ REMASTERED = r"\b(?:re-?master(?:ed)?|remaster)\b"
 LIVE = r"\b(?:live|concert|unplugged|session|at\s+\w+\s+(?:arena|stadium|hall))\b"
 COVER = r"\b(?:cover|tribute|karaoke)\b"
 SIGNATURE_MARKERS = ("remaster", "remastered", "deluxe", "radio2session", "session", "live", "edit", "version", "mono", "stereo")
+TOOL_NAMES = {
+    "L1.inspect_user_profile": "get_user_memory", "L2.inspect_song_profile": "get_track_metadata", "L2.collect_or_import": "get_track_metadata",
+    "L2.merge_sources": "get_track_metadata", "L3.retrieve_candidates": "get_similar_tracks", "L4.rank_candidates": "rank_candidates",
+    "L5.record_feedback": "record_feedback", "L5.configure_trajectory_sink": "record_feedback",
+}
+SEEN_REFERENCES = ("刚才推荐过", "刚刚推荐过", "之前推荐过", "上次推荐过", "刚才那些", "刚刚那些", "之前那些", "already recommended", "shown before")
+PREFERENCE_ALIASES = {"british rock": "british", "uk rock": "british", "english rock": "british", "britpop": "british", "英伦摇滚": "british"}
+DIVERSITY_MARKERS = ("多样", "不同歌手", "不要重复歌手", "每位歌手", "每个歌手", "diverse", "different artists", "per artist")
+EXPLICIT_COUNT = r"\d{1,2}\s*(?:首|songs?)|(?:二十|十[一二三四五六七八九]?|[一二两三四五六七八九])\s*首"

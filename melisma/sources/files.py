@@ -23,6 +23,12 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
     return parsed.where(good).select("file", "row.*"), parsed.where(~good).select("file")
 
 
+def read_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON files of any fields: (rows, skipped). Rows have the objects as variants; skipped are files that don't parse; other values are left out."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("value"))
+    return raw.where(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))), raw.where("value IS NULL").select("file")
+
+
 def read_profile(spark: SparkSession, path: str, user_id: str) -> DataFrame:
     return read_documents(spark, path, PROFILE)[0].where(F.col("user_id") == user_id)
 
