@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The lines of a rendered sample.
-OPENING = ("You are rateyourDJ, a tool-using music recommendation agent.", "Reason step by step (ReAct), call tools, then answer.", "")
+OPENING = ("You are {agent}, a tool-using music recommendation agent.", "Reason step by step (ReAct), call tools, then answer.", "")
 GROUNDED = "Observation: grounded candidate tracks confirmed."
+#: What prompts call the agent.
+AGENT = "the assistant"
 
 
 def _top_names(preferences: Column, name: str) -> Column:
@@ -21,11 +23,11 @@ def _top_names(preferences: Column, name: str) -> Column:
     return F.when(F.size(F.map_keys(preferences)) > 0, F.concat(F.lit(f"{name}: "), names))
 
 
-def prompt(query: Column, artists: Column, genres: Column, top_k: Column) -> Column:
+def prompt(query: Column, artists: Column, genres: Column, top_k: Column, agent: str = AGENT) -> Column:
     """Empty for a blank query."""
     q = F.trim(F.coalesce(query, F.lit("")))
     taste = F.concat_ws("; ", _top_names(artists, "artists"), _top_names(genres, "genres"))
-    lines = F.concat_ws("\n", *[F.lit(x) for x in OPENING], F.concat(F.lit("User request: "), q), F.when(taste != "", F.concat(F.lit("Known listener taste: "), taste)), F.concat(F.lit("Requested count: "), top_k.cast("string")))
+    lines = F.concat_ws("\n", *[F.lit(x.format(agent=agent)) for x in OPENING], F.concat(F.lit("User request: "), q), F.when(taste != "", F.concat(F.lit("Known listener taste: "), taste)), F.concat(F.lit("Requested count: "), top_k.cast("string")))
     return F.when(q == "", "").otherwise(lines)
 
 
@@ -38,22 +40,22 @@ def completion(decisions: Column, answer: Column, tracks: Column) -> Column:
     return F.concat_ws("\n", steps, F.when(some, GROUNDED), said("Final answer", answer), F.when(some, F.concat(F.lit("Recommended tracks:\n"), F.array_join(lines, "\n"))))
 
 
-def rendered(runs: DataFrame) -> DataFrame:
+def rendered(runs: DataFrame, agent: str = AGENT) -> DataFrame:
     """``runs`` with prompt and completion."""
-    return runs.withColumns({"prompt": prompt(F.col("query"), F.col("artists"), F.col("genres"), F.col("top_k")), "completion": completion(F.col("decisions"), F.col("answer"), F.col("tracks"))})
+    return runs.withColumns({"prompt": prompt(F.col("query"), F.col("artists"), F.col("genres"), F.col("top_k"), agent), "completion": completion(F.col("decisions"), F.col("answer"), F.col("tracks"))})
 
 
-def supervised(runs: DataFrame, least_reward: float) -> DataFrame:
+def supervised(runs: DataFrame, least_reward: float, agent: str = AGENT) -> DataFrame:
     """The rendered runs with both texts whose reward reaches the threshold."""
-    return rendered(runs).where((F.col("prompt") != "") & (F.col("completion") != "") & (F.col("reward") >= least_reward))
+    return rendered(runs, agent).where((F.col("prompt") != "") & (F.col("completion") != "") & (F.col("reward") >= least_reward))
 
 
-def grouped(runs: DataFrame, order: list[str], least: int = 2) -> DataFrame:
+def grouped(runs: DataFrame, order: list[str], least: int = 2, agent: str = AGENT) -> DataFrame:
     """prompt, responses, rewards (rounded to six places, none is 0) in input order, of prompts with enough responses and two rewards.
 
     A group is one sample, so it is one row by definition.
     """
-    rows = rendered(runs).where("prompt != '' AND completion != ''").withColumn("r", F.round(F.coalesce("reward", F.lit(0.0)), 6))
+    rows = rendered(runs, agent).where("prompt != '' AND completion != ''").withColumn("r", F.round(F.coalesce("reward", F.lit(0.0)), 6))
     groups = rows.groupBy("prompt").agg(F.sort_array(F.collect_list(F.struct(*order, "completion", "r"))).alias("rows"), F.min("r").alias("lo"), F.max("r").alias("hi"))
     return groups.where((F.size("rows") >= least) & (F.col("lo") != F.col("hi"))).select("prompt", F.col("rows.completion").alias("responses"), F.col("rows.r").alias("rewards"))
 

@@ -176,7 +176,7 @@ runs AS (
     SELECT user_id, day, arg_min(kind, seq) AS tool, count(*) AS n, avg(reward10) / 10 AS reward,
            string_agg(CASE WHEN reward10 > 0 THEN 'Thought: liked ' || title || chr(10) ELSE '' END || 'Action: ' || kind, chr(10) ORDER BY seq) AS steps, string_agg('- ' || title || ' — ' || artist, chr(10) ORDER BY seq) AS tracks FROM joined GROUP BY user_id, day),
 texts AS (
-    SELECT user_id, day, reward, 'You are rateyourDJ, a tool-using music recommendation agent.' || chr(10) || 'Reason step by step (ReAct), call tools, then answer.' || chr(10) || chr(10) || 'User request: find me ' || tool || ' music'
+    SELECT user_id, day, reward, 'You are the assistant, a tool-using music recommendation agent.' || chr(10) || 'Reason step by step (ReAct), call tools, then answer.' || chr(10) || chr(10) || 'User request: find me ' || tool || ' music'
         || CASE WHEN user_id % 6 = 0 THEN chr(10) || 'Known listener taste: artists: ' || tool || ', Zed; genres: rock' WHEN user_id % 3 = 0 THEN chr(10) || 'Known listener taste: artists: ' || tool || ', Zed' WHEN user_id % 2 = 0 THEN chr(10) || 'Known listener taste: genres: rock' ELSE '' END
         || CASE WHEN user_id % 4 < 2 THEN chr(10) || 'Requested count: ' || n ELSE '' END AS prompt,
         steps || chr(10) || 'Observation: grounded candidate tracks confirmed.' || CASE WHEN n > 1 THEN chr(10) || 'Final answer: enjoy ' || n ELSE '' END || chr(10) || 'Recommended tracks:' || chr(10) || tracks AS completion FROM runs),
