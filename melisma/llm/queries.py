@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm import chat, contamination, jaccard, mixing, packing, quality, secrets, sharding, tokens, urls
+from melisma.llm import chat, contamination, jaccard, mixing, packing, phrases, quality, secrets, sharding, tokens, urls
 from melisma.llm.sql import ORACLES
 from melisma.llm.text import null_key
 
@@ -111,10 +111,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_sharding, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_ngram_jaccard, op6_token_files, op7_quality_rules, op8_url_filters, op9_source_mix, op10_secret_scan)
+    ops = (op1_sharding, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_ngram_jaccard, op6_token_files, op7_quality_rules, op8_url_filters, op9_source_mix, op10_secret_scan, op11_phrase_mining)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 

@@ -111,4 +111,31 @@ drawn AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
 """
 
-ORACLES = {"op1_sharding": OP1, "op4_chat_formatting": OP4, "op8_url_filters": OP8, "op9_source_mix": OP9}
+OP11 = r"""
+WITH
+pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+    FROM listed, range(1, 4) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+    SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first_part, array_to_string(w[cut + 1:], ' ') AS rest
+    FROM candidates, range(1, 3) t(cut) WHERE cut < k),
+scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, c.cut, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN f x ON c.lang = x.lang AND c.first_part = x.phrase JOIN f y ON c.lang = y.lang AND c.rest = y.phrase),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM candidates WHERE k = 3),
+covered AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN covered c ON b.lang = c.lang AND b.phrase = c.phrase WHERE c.most IS NULL OR 100 * c.most < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op1_sharding": OP1, "op4_chat_formatting": OP4, "op8_url_filters": OP8, "op9_source_mix": OP9, "op11_phrase_mining": OP11}
