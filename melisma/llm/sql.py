@@ -138,4 +138,37 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
-ORACLES = {"op1_sharding": OP1, "op4_chat_formatting": OP4, "op8_url_filters": OP8, "op9_source_mix": OP9, "op11_phrase_mining": OP11}
+OP13 = r"""
+WITH
+bytes(b, c) AS (SELECT i, i FROM range(256) t(i)),
+texts AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+goals AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+spread AS (SELECT r, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS feature FROM texts, range(1, 4) t(k)),
+goal_spread AS (SELECT unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS feature FROM goals, range(1, 4) t(k)),
+table256 AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384::UBIGINT)) AS v FROM range(256) x(i))),
+named AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM spread UNION SELECT feature FROM goal_spread)),
+crc AS (
+    SELECT feature, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || h[j:j + 1])::UBIGINT FOR j IN range(1, len(h), 2)]), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 10000 AS bucket
+    FROM named, table256),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM spread JOIN crc USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM goal_spread JOIN crc USING (feature) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*)::DOUBLE FROM spread) AS ss, (SELECT count(*)::DOUBLE FROM goal_spread) AS tt),
+gain AS (
+    SELECT b.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + 10000) / ((coalesce(s, 0) + 1) * (tt + 10000))))::BIGINT AS gain
+    FROM range(10000) b(bucket) LEFT JOIN s ON b.bucket = s.bucket LEFT JOIN t ON b.bucket = t.bucket, sums),
+weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM spread JOIN crc USING (feature) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+    SELECT x.r, doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)
+           + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score,
+           coalesce(weight, 0) AS weight
+    FROM texts x LEFT JOIN weights y ON x.r = y.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, 5 * count(*) FILTER (WHERE fit) OVER () // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+ORACLES = {"op1_sharding": OP1, "op4_chat_formatting": OP4, "op8_url_filters": OP8, "op9_source_mix": OP9, "op11_phrase_mining": OP11, "op13_importance_resampling": OP13}
