@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm import chat, contamination, jaccard, mixing, packing, phrases, quality, resampling, secrets, sharding, tokens, urls
+from melisma.llm import chat, classifier, contamination, jaccard, mixing, packing, phrases, quality, resampling, secrets, sharding, tokens, urls
 from melisma.llm.sql import ORACLES
 from melisma.llm.text import null_key
 
@@ -115,6 +115,12 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classifier.classify(docs, classifier.train(docs, labels))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("text"))
 
@@ -122,7 +128,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_sharding, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_ngram_jaccard, op6_token_files, op7_quality_rules, op8_url_filters, op9_source_mix, op10_secret_scan, op11_phrase_mining, op13_importance_resampling)
+    ops = (op1_sharding, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_ngram_jaccard, op6_token_files, op7_quality_rules, op8_url_filters, op9_source_mix, op10_secret_scan, op11_phrase_mining, op12_quality_classifier, op13_importance_resampling)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
