@@ -90,7 +90,7 @@ FROM pages2 JOIN judged USING (host) LEFT JOIN fit USING (page_id, url)
 
 OP9 = rf"""
 WITH sized AS (
-    SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+    SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5(CASE WHEN doc_id IS NULL THEN 'n' ELSE 'v' || doc_id::VARCHAR END || ':' || md5(coalesce(text, ''))) AS who FROM documents),
 total AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
     SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (3.0 * source_size)::DOUBLE AS cap FROM total),
@@ -104,11 +104,15 @@ targets AS (
         (all_size - sum(CASE WHEN at_cap THEN cap ELSE 0 END) OVER ()) * weight / sum(CASE WHEN at_cap THEN 0 ELSE weight END) OVER () END AS target
     FROM capped),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM targets),
-drawn AS (
-    SELECT doc_id, size, source_size, target, rate,
-           ('0x' || substr(md5('mix-1:' || CASE WHEN doc_id IS NULL THEN 'n' ELSE 'v' || doc_id::VARCHAR END || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-    FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
+hits AS (
+    SELECT sized.source, doc_id, size, number, source_size, target, rate,
+           ('0x' || substr(md5('mix-1:' || number::VARCHAR || ':' || who), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) AS hit
+    FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source, range(64) n(number)),
+sums AS (SELECT source, number, sum(CASE WHEN hit THEN size ELSE 0 END) AS extra FROM hits GROUP BY ALL),
+picks AS (
+    SELECT source, number FROM sums JOIN rated USING (source)
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(floor(rate) * source_size + extra - target), number) = 1)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN hit THEN 1 ELSE 0 END))::BIGINT AS taken FROM hits JOIN picks USING (source, number)
 """
 
 OP11 = r"""

@@ -518,6 +518,29 @@ def test_mix(real, docs, empty):
     assert mixing.mix(empty).isEmpty()
 
 
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.001", "0.01")])
+def test_mix_comes_near_its_targets(spark, sf):
+    rows = queries.op9_source_mix(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for found in by.values():
+        away = abs(sum(r.taken for r in found) - found[0].target)
+        assert away <= max(0.02 * found[0].target, max(r.size for r in found))
+        assert all(r.taken <= 3 * r.size for r in found)
+    assert len(by) > 10
+
+
+def test_mix_keeps_columns_and_takes_single_documents(spark):
+    rows = [(i, "w " * 100, s, "k", "d", 1, 2) for s, n in (("many", 900), ("few", 6), ("one", 1), (None, 30)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _k string, `x.y` string, who int, pick int")
+    planned = mixing.plan_mix(docs)
+    assert planned.columns == [*docs.columns, *mixing.NEW] and planned.count() == len(rows)
+    away = {r.source: abs(r.t - r.target) for r in planned.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("t")).collect()}
+    assert away["many"] <= 0.02 * 90_000 and all(v <= 100 for v in away.values())
+    assert mixing.mix(docs).columns == docs.columns
+
+
 # Secrets
 
 
