@@ -86,9 +86,13 @@ def _suffixes(units: np.ndarray, offsets: np.ndarray, codes: np.ndarray, seeds:
 
 
 def _counted(joined: pa.Array, code: np.ndarray, prefix: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Equal suffixes as one row with a count. Only suffixes of equal hashes are compared, as strings."""
-    order = np.argsort(prefix[-1])
-    whole = prefix[-1][order]
+    """Equal suffixes as one row with a count. Only suffixes of equal keys are compared, as strings.
+
+    Rows of one first word stand together, which compresses them: the key is half of that word's hash and half of the whole one's.
+    """
+    key = (prefix[0] & np.uint64(0xFFFFFFFF00000000)) | (prefix[-1] >> np.uint64(32))
+    order = np.argsort(key)
+    whole = key[order]
     twin = np.zeros(len(whole), bool)
     twin[1:] = whole[1:] == whole[:-1]
     twin[:-1] |= twin[1:].copy()
