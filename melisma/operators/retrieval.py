@@ -1,22 +1,32 @@
 """Candidate retrieval: weighted-Jaccard pair scores of songs against users' collections.
 
-Scores are whole millionths until the end, so sums don't depend on their order. The asked users and all songs are
-packed into blocks of bounded size, and every block of users meets every block of songs once; a block pair is scored
-with array arithmetic over inverted label lists and returns one row for each candidate, or only the block's best.
+Scores are whole millionths until the end, so sums don't depend on their order.
+
+``retrieve`` finds each user's k best as an exact top-k similarity join. Inverted label lists are joined, and each seed
+keeps its best songs by pair score and the score at which its list was cut. A user's lists bound each song's score from
+above: its best five pair scores are listed, or at most the cut. The songs of the highest bounds are scored against the
+whole collection, in that order, until none can reach the k-th best any more. A song that wasn't tried can't pass the
+highest cut, the best bound that was left, or the year's part; a user whose k-th best lies above those is done. The
+others, who find too few songs that share labels, are scored against all songs.
+
+That, and the queries whose result is the whole grid, is done in blocks: asked users and songs are packed into blocks of
+bounded size, every block of users meets every block of songs once, and a block pair is scored with array arithmetic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import constants as K
 from melisma.functions import text
-from melisma.session import ship_package
+from melisma.session import ship_package, written
 
 PARTS = ("track_tags", "genres", "artist_tags", "release_year")
 MAPS = PARTS[:3]
@@ -146,6 +156,300 @@ def score_pairs(users: DataFrame, features: DataFrame) -> DataFrame:
     return _by_blocks(users, features, PAIR, _pairs_of)
 
 
+def song_labels(features: DataFrame) -> DataFrame:
+    """One row for each label of a song: song_id, year, field, label, w and the field's total weight."""
+
+    def of_field(name: str) -> Column:
+        total = F.aggregate(F.map_values(name), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+        return F.transform(F.map_entries(name), lambda e: F.struct(F.lit(name).alias("field"), e["key"].alias("label"), e["value"].cast("long").alias("w"), total.alias("total")))
+
+    return features.select("song_id", "year", F.inline(F.flatten(F.array(*map(of_field, MAPS)))))
+
+
+#: Postings in one row of a label's list, on average for the longest label; pairs that a task scores; rows scored at once.
+POSTINGS, PAIRS_A_TASK, ROWS_AT_ONCE = 512, 1_000_000, 1000
+#: Postings (28 bytes each) that may be broadcast, and seeds that a task then takes; beyond it lists and labels are shuffled by label, then by seed.
+MOST_BROADCAST, SEEDS_A_TASK = 2_000_000, 1000
+NEAR = "seed long, songs array<long>, scores array<long>, cut long"
+
+
+def _best_of_groups(group: np.ndarray, seed: np.ndarray, year: np.ndarray, field: np.ndarray, w: np.ndarray, total: np.ndarray, size: np.ndarray, posting: tuple, m: int) -> list[pa.Array]:
+    """seed, songs, scores and cut of each group of rows: its m best songs (ties by id), a seed itself left out, and the next one's score or 0.
+
+    A row is a seed's label: its list has ``size`` postings (song, w, total, year), which follow those of the row before.
+    """
+    row = np.repeat(np.arange(len(group)), size)
+    song, song_w, song_total, song_year = posting
+    order = np.lexsort((song, group[row]))
+    order = order[song[order] != seed[row[order]]]
+    row, song = row[order], song[order]
+    if not len(song):
+        return [pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())]
+    new = np.concatenate([[True], (song[1:] != song[:-1]) | (group[row[1:]] != group[row[:-1]])])
+    pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    n, cell = len(first), (np.cumsum(new) - 1) * len(MAPS) + field[row]
+    shared = np.bincount(cell, np.minimum(w[row], song_w[order]), n * len(MAPS)).reshape(n, -1)
+    both = np.zeros(n * len(MAPS))
+    both[cell] = total[row] + song_total[order]
+    union = both.reshape(n, -1) - shared
+    score = sum(_millionths(K.PAIR_WEIGHTS[f] * np.divide(s, u, out=np.zeros(n), where=u > 0)) for f, s, u in zip(MAPS, shared.T, union.T))
+    apart = np.minimum(np.abs(song_year[order[first]] - year[row[first]]), K.YEAR_SPAN)
+    score += _millionths(K.PAIR_WEIGHTS["release_year"] * (1 - apart / float(K.YEAR_SPAN)))
+    song, of = song[first], group[row[first]]
+    # Only what reaches the (m + 1)-th score of its group is sorted.
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    ends = np.append(starts[1:], n)
+    least = np.array([np.partition(score[a:b], b - a - m - 1)[b - a - m - 1] if b - a > m + 1 else 0 for a, b in zip(starts.tolist(), ends.tolist())])
+    few = np.flatnonzero(score >= np.repeat(least, ends - starts))
+    few = few[np.lexsort((song[few], -score[few], of[few]))]
+    fresh = np.concatenate([[True], of[few[1:]] != of[few[:-1]]])
+    place = np.arange(len(few)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    head, listed = few[fresh], few[place < m]
+    cut = np.zeros(len(head), np.int64)
+    over = few[place == m]
+    cut[np.searchsorted(of[head], of[over])] = score[over]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(np.cumsum(fresh)[place < m] - 1, minlength=len(head)))]).astype(np.int32))
+    return [pa.array(seed[row[first[head]]]), *[pa.ListArray.from_arrays(offsets, pa.array(x[listed])) for x in (song, score)], pa.array(cut)]
+
+
+def _near_by_broadcast(left: DataFrame, lists: DataFrame, m: int) -> DataFrame:
+    """NEAR rows by lists that every task holds: a seed's overlaps are summed in one array over all songs."""
+    table = lists.toArrow()
+    rows = [table.column(c).to_pylist() for c in ("field", "label")]
+    flat = {c: table.column(c).combine_chunks() for c in ("song_id", "w", "total", "year")}
+    ids = flat["song_id"].flatten().to_numpy()
+    songs, at = np.unique(ids, return_inverse=True)
+    years = np.zeros(len(songs), np.int64)
+    years[at] = flat["year"].flatten().to_numpy()
+    ends = flat["song_id"].offsets.to_numpy()
+    w, total = (flat[c].flatten().to_numpy() for c in ("w", "total"))
+    index: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for i, key in enumerate(zip(*rows)):
+        index.setdefault(key, []).append((int(ends[i]), int(ends[i + 1])))
+    shared = left.sparkSession.sparkContext.broadcast((songs, years, at, w, total, index))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        songs, years, at, w, total, index = shared.value
+        lap, both, hit = {f: np.zeros(len(songs)) for f in MAPS}, {f: np.zeros(len(songs)) for f in MAPS}, np.zeros(len(songs), bool)
+        for batch in batches:
+            out = []
+            for seed, year, labels in zip(batch["seed"], batch["seed_year"], batch["labels"]):
+                touched = [(x["field"], at[a:b], np.minimum(x["seed_w"], w[a:b]), x["seed_total"] + total[a:b]) for x in labels for a, b in index.get((x["field"], x["label"]), ())]
+                for f, to, least, sums in touched:
+                    lap[f][to] += least
+                    both[f][to] = sums
+                    hit[to] = True
+                own = np.searchsorted(songs, seed)
+                if own < len(songs) and songs[own] == seed:
+                    hit[own] = False
+                some = np.flatnonzero(hit)
+                score = np.zeros(len(some), np.int64)
+                for f in MAPS:
+                    s, u = lap[f][some], both[f][some] - lap[f][some]
+                    score += _millionths(K.PAIR_WEIGHTS[f] * np.divide(s, u, out=np.zeros(len(some)), where=u > 0))
+                for f, to, _, _ in touched:  # the arrays are clean again for the next seed
+                    lap[f][to] = both[f][to] = 0
+                    hit[to] = False
+                apart = np.minimum(np.abs(years[some] - year), K.YEAR_SPAN)
+                score += _millionths(K.PAIR_WEIGHTS["release_year"] * (1 - apart / float(K.YEAR_SPAN)))
+                if len(some) > m + 1:
+                    few = np.flatnonzero(score >= np.partition(score, -m - 1)[-m - 1])
+                    some, score = some[few], score[few]
+                order = np.lexsort((some, -score))
+                out.append((seed, songs[some[order[:m]]], score[order[:m]], int(score[order[m]]) if len(order) > m else 0))
+            yield pd.DataFrame(out, columns=["seed", "songs", "scores", "cut"])
+
+    seeds = left.groupBy("seed", "seed_year").agg(F.collect_list(F.struct("field", "label", "seed_w", "seed_total")).alias("labels"))
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, seeds.count() // SEEDS_A_TASK)  # the rows are few and small, the work isn't
+    return seeds.repartition(parts, "seed").mapInPandas(best, NEAR)
+
+
+def near_songs(seeds: DataFrame, features: DataFrame, m: int) -> DataFrame:
+    """NEAR rows: of each seed and part of the songs the ``m`` best by pair score among those that share a label with it, and the next score.
+
+    seeds: song_id, distinct. The labels' inverted lists, cut into parts by a hash of the song so that no row and no
+    group holds a long list, are joined with the seeds' labels; a seed's lists of one part are summed as arrays and give
+    its best of that part. No pair without a shared label is made; the score of all others is at most the year's part.
+    """
+    ship_package(seeds.sparkSession)
+    labels = written(song_labels(features), "song-labels")
+    longest = labels.groupBy("field", "label").count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("song_id"), F.lit(-(-longest // POSTINGS) or 1))
+    columns = ("song_id", "w", "total", "year")  # separate arrays, in one order: they reach the tasks' arrays without an object for each entry
+    lists = written(labels.groupBy("field", "label", part.alias("part")).agg(*[F.collect_list(c).alias(c) for c in columns], F.count("*").alias("n")), "label-lists")
+    left = labels.join(seeds, "song_id", "left_semi").select(F.col("song_id").alias("seed"), F.col("year").alias("seed_year"), "field", "label", F.col("w").alias("seed_w"), F.col("total").alias("seed_total"))
+    made = lists.join(left.groupBy("field", "label").agg(F.count("*").alias("m")), ["field", "label"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    parts = max(seeds.sparkSession.sparkContext.defaultParallelism, made // PAIRS_A_TASK)
+    at = F.array_position(F.array(*map(F.lit, MAPS)), F.col("field")).cast("int") - 1
+    size = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
+        return _near_by_broadcast(left, lists, m)
+    met = left.join(lists, ["field", "label"]).select("seed", "part", F.col("seed_year").cast("long"), at.alias("f"), "seed_w", "seed_total", *columns)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by (seed, part); the last group of a batch may go on in the next one and waits for it."""
+
+        def scored(rows: pa.Table) -> pa.RecordBatch:
+            seed, part, *rest = [rows.column(i).to_numpy() for i in range(6)]
+            group = np.concatenate([[0], np.cumsum((seed[1:] != seed[:-1]) | (part[1:] != part[:-1]))])
+            lists = [rows.column(i).combine_chunks() for i in range(6, 10)]
+            found = _best_of_groups(group, seed, *rest, pc.list_value_length(lists[0]).to_numpy(), tuple(x.flatten().to_numpy() for x in lists), m)
+            return pa.RecordBatch.from_arrays(found, ["seed", "songs", "scores", "cut"])
+
+        waiting = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = pa.Table.from_batches([batch.slice(start, ROWS_AT_ONCE)])
+                rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+                seed, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                other = np.flatnonzero((seed != seed[-1]) | (part != part[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield scored(rows.slice(0, cut))
+                waiting = rows.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield scored(waiting)
+
+    return met.repartition(parts, "seed").sortWithinPartitions("seed", "part").mapInArrow(best, NEAR)
+
+
+def _may_reach(k: int) -> Callable[[pa.Table], pa.Table]:
+    """For one user's lists (user_id, seed, songs, scores, cut, out): user_id, song_id, below, bound.
+
+    ``below``: minus the most that a song can score, of the ``TRIED`` * k songs for which that is highest. ``bound``: what all others score at most.
+    """
+
+    def pick(rows: pa.Table) -> pa.Table:
+        column = lambda c: rows.column(c).combine_chunks()
+        songs, scores = column("songs").flatten().to_numpy(), column("scores").flatten().to_numpy()
+        seeds, out = np.unique(column("seed").to_numpy()), column("out").slice(0, 1).flatten().to_numpy()
+        cut = max(YEAR_MOST, pc.max(column("cut")).as_py())
+        order = np.lexsort((-scores, songs))
+        order = order[~np.isin(songs[order], np.concatenate([seeds, out]))]
+        songs, scores = songs[order], scores[order]
+        first = np.flatnonzero(np.concatenate([[True], songs[1:] != songs[:-1]])[: len(songs)])
+        nth = np.arange(len(songs)) - np.repeat(first, np.diff(np.append(first, len(songs))))
+        top = np.full((len(first), min(K.TOP_SEEDS, len(seeds))), cut, np.int64)  # seeds that don't list the song score the cut at most
+        some = nth < top.shape[1]
+        top[(np.cumsum(nth == 0) - 1)[some], nth[some]] = scores[some]
+        top = -np.sort(-top, axis=1)
+        most = np.floor(K.COLLECTION_WEIGHTS["best"] * top[:, 0] + K.COLLECTION_WEIGHTS["average"] * top.mean(axis=1)).astype(np.int64) + SLACK
+        best = np.lexsort((songs[first], -most))
+        songs, most = songs[first][best], most[best]
+        bound = max(cut + SLACK, *most[TRIED * k :][:1].tolist(), 0)
+        songs, most = songs[: TRIED * k], most[: TRIED * k]
+        user = rows.column("user_id")[0].as_py()
+        return pa.table({"user_id": np.full(len(songs), user), "song_id": songs, "below": -most, "bound": np.full(len(songs), bound)})
+
+    return pick
+
+
+#: Rounding of four parts to whole millionths can lift a score over its best pair's, or sink it, by this much.
+SLACK = 3
+YEAR_MOST = round(K.PAIR_WEIGHTS["release_year"] * 1e6)
+#: Candidates of a user that are scored at once, and how many times k are tried.
+CHUNK, TRIED = 64, 10
+
+
+def retrieve(collection: DataFrame, features: DataFrame, k: int, with_matched: bool = False, excluded: DataFrame | None = None, m: int | None = None) -> DataFrame:
+    """CANDIDATE rows and rank of each user's k best songs of positive similarity outside the collection and ``excluded``.
+
+    collection: user_id, song_id, first_order of the asked users. excluded: user_id, song_id. m: songs in a seed's list.
+    """
+    spark, m = collection.sparkSession, m or max(512, 4 * k)
+    users = written(collection_seeds(collection, features), "retrieval-users")
+    mine = users.select("user_id", F.explode("seeds.song_id").alias("seed"))
+    near = written(near_songs(mine.select(F.col("seed").alias("song_id")).distinct(), features, m), "near-songs")
+    none = F.array().cast("array<long>")
+    lists = mine.join(near, "seed").withColumn("out", none)
+    if excluded is not None:
+        banned = excluded.groupBy("user_id").agg(F.collect_set(F.col("song_id").cast("long")).alias("out"))
+        lists = lists.drop("out").join(banned, "user_id", "left").withColumn("out", F.coalesce("out", none))
+    may = written(lists.groupBy("user_id").applyInArrow(_may_reach(k), "user_id long, song_id long, below long, bound long"), "near-candidates")
+    bounds = may.groupBy("user_id").agg(F.max("bound").alias("bound"))
+    songs = features.select("song_id", "artist", "year", *[F.map_entries(f).alias(f) for f in MAPS])
+    row = F.struct("below", *songs.columns)
+    packed = may.join(songs, "song_id").groupBy("user_id").agg(F.collect_list(row).alias("songs"))
+    ship_package(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, users.count() // USER_BLOCK)  # the rows are few and small, the work isn't
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for user, seeds, block in zip(batch.user_id, batch.seeds, batch.songs):
+                seeds, best = sorted(seeds, key=lambda x: x["song_id"]), np.zeros(0, np.int64)
+                block = sorted(block, key=lambda x: x["below"])
+                for start in range(0, len(block), CHUNK):
+                    if len(best) == k and -block[start]["below"] < best[0]:
+                        break  # no song from here on reaches the k-th best so far
+                    rows = _score_user({"user_id": user, "seeds": seeds}, _songs(block[start : start + CHUNK]), with_matched)
+                    best = np.sort(np.concatenate([best, rows.similarity.to_numpy()]))[-k:]
+                    yield rows
+
+    exact = top_candidates(packed.join(users, "user_id").select("user_id", "seeds", "songs").repartition(tasks, "user_id").mapInPandas(score, CANDIDATE), k)
+    exact = written(exact, "near-scored")
+    done = written(exact.where(F.col("rank") == k).join(bounds, "user_id").where(F.col("similarity") > F.col("bound")).select("user_id"), "retrieval-done")
+    others = score_candidates(users.join(done, "user_id", "left_anti"), features, k if excluded is None else None, with_matched)
+    if excluded is not None:
+        others = others.join(excluded.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti").select(*others.columns)
+    return exact.join(done, "user_id", "left_semi").unionByName(top_candidates(others, k))
+
+
+def external_duplicates(collection: DataFrame, ids: DataFrame) -> DataFrame:
+    """user_id, song_id of songs that share an external id of a field with a collected one. ids: song_id, field, value; blank values are none."""
+    known = ids.where("value IS NOT NULL AND value != ''")
+    own = collection.select("user_id", F.col("song_id").alias("seed")).join(known.withColumnRenamed("song_id", "seed"), "seed").select("user_id", "seed", "field", "value")
+    return own.join(known, ["field", "value"]).where("seed != song_id").select("user_id", "song_id").distinct()
+
+
+def _pick(pool: pd.DataFrame, k: int, cap: int) -> list[int]:
+    """Places of the picked rows: in order, without another record or version of a picked song, ``cap`` of an artist."""
+    picked, seen, versions, artists = [], set(), {}, {}
+    for i, (ids, artist, title, ms) in enumerate(zip(pool["ids"], pool["artist_key"], pool["title_key"], pool["duration_ms"])):
+        ids, ms = set(ids), None if pd.isna(ms) else ms
+        near = versions.setdefault((artist, title), []) if title else []
+        if ids & seen or any(ms is None or x is None or abs(ms - x) <= K.DUPLICATE_MS for x in near):
+            continue
+        if artist and artists.get(artist, 0) >= cap:
+            continue
+        picked.append(i)
+        seen |= ids
+        near.append(ms)
+        artists[artist] = artists.get(artist, 0) + 1
+        if len(picked) == k:
+            break
+    return picked
+
+
+def recommend_distinct(collection: DataFrame, features: DataFrame, songs: DataFrame, ids: DataFrame, k: int = 20, cap: int = 2, min_score: int = 0, pool: int | None = None) -> DataFrame:
+    """The whole selection: CANDIDATE rows and rank of up to k songs for each user.
+
+    Other records and versions of collected songs are left out first; then songs are taken in order of similarity,
+    without further records (an equal external id) or versions of taken ones, at most ``cap`` of an artist. Who is taken
+    depends on all before, so a user's ``pool`` best are folded in one task; users for whom the pool was too small get one
+    four times as large. songs: song_id, artist, title, duration_ms; ids: song_id, field, value.
+    """
+    asked, pool, found = collection, pool or 3 * k, None
+    known = ids.where("value IS NOT NULL AND value != ''").groupBy("song_id").agg(F.collect_set(F.concat_ws("=", "field", "value")).alias("ids"))
+    keyed = songs.select("song_id", "duration_ms", F.coalesce(text.alnum_words(F.col("artist")), F.lit("")).alias("artist_key"), F.coalesce(text.canonical_title(F.col("title")), F.lit("")).alias("title_key"))
+    keyed = keyed.join(known, "song_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    schema = f"{CANDIDATE}, rank int, short boolean"
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["similarity", "song_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        picked = _pick(rows, k, cap)
+        return rows.iloc[picked].assign(rank=range(1, len(picked) + 1), short=len(picked) < k and len(rows) >= pool)[[x.split(" ")[0] for x in schema.split(", ")]]
+
+    while True:
+        excluded = written(duplicate_versions(asked, songs).union(external_duplicates(asked, ids)), "retrieval-excluded")
+        best = retrieve(asked, features, pool, True, excluded).where(F.col("similarity") >= min_score).drop("rank").join(keyed, "song_id")
+        rows = written(best.groupBy("user_id").applyInPandas(fold, schema), "selected")
+        whole = rows.where("NOT short").drop("short")
+        found = whole if found is None else found.unionByName(whole)
+        if rows.where("short").isEmpty():
+            return found
+        asked, pool = asked.join(rows.where("short").select("user_id").distinct(), "user_id", "left_semi"), 4 * pool
+
+
 def top_candidates(scores: DataFrame, k: int, min_score: int = 0) -> DataFrame:
     """The k best candidates of each user; zero scores and those under min_score never qualify."""
     best = Window.partitionBy("user_id").orderBy(F.desc("similarity"), "song_id")

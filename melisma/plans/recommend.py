@@ -74,8 +74,38 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER B
 
 @query(GRID.replace("{k}", "20") + "SELECT user_id, rank, song_id, best_seed, similarity FROM top")
 def flt1_flt2_top1_retrieve_topk(spark, sf_dir):
-    top = rt.top_candidates(scored(spark, sf_dir, TOP_K), TOP_K)
-    return top.select("user_id", "rank", "song_id", "best_seed", "similarity")
+    mine = ad.collection(spark, sf_dir).where("user_id % 20 = 0")
+    return rt.retrieve(mine, ad.song_features(spark, sf_dir), TOP_K).select("user_id", "rank", "song_id", "best_seed", "similarity")
+
+
+@query(GRID.replace("{k}", "20").replace("asked AS (", """
+walk_ids AS (
+    SELECT p_partkey AS song_id, list_filter(['isrc=' || p_type || '-' || p_size, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'mbid=mb' || (p_partkey % 700) END], lambda x: x <> '') AS ids FROM part),
+info AS (
+    SELECT song_id, ids, duration_ms AS d, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM songs JOIN walk_ids USING (song_id)),
+asked AS (""", 1) + r""",
+gone AS (
+    SELECT DISTINCT x.user_id, o.song_id FROM asked x JOIN info k ON k.song_id = x.seed
+    JOIN info o ON o.song_id <> k.song_id AND (list_has_any(o.ids, k.ids) OR (o.a = k.a AND o.t = k.t AND o.t <> '' AND abs(o.d - k.d) <= 10000))),
+pool AS (
+    SELECT user_id, f.song_id, best_seed, similarity, ids, a, t, d, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, f.song_id) AS pos
+    FROM final f JOIN info USING (song_id) WHERE similarity > 0 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = f.user_id AND g.song_id = f.song_id)),
+walk(user_id, pos, picked) AS (
+    SELECT DISTINCT user_id, 0::BIGINT, []::STRUCT(ids VARCHAR[], a VARCHAR, t VARCHAR, d BIGINT, song_id BIGINT, best_seed BIGINT, similarity BIGINT)[] FROM asked
+    UNION ALL
+    SELECT w.user_id, p.pos, CASE WHEN len(list_filter(picked, lambda x: list_has_any(x.ids, p.ids) OR (x.a = p.a AND x.t = p.t AND p.t <> '' AND abs(x.d - p.d) <= 10000))) = 0
+            AND (p.a = '' OR len(list_filter(picked, lambda x: x.a = p.a)) < 2)
+        THEN list_append(picked, {'ids': p.ids, 'a': p.a, 't': p.t, 'd': p.d, 'song_id': p.song_id, 'best_seed': p.best_seed, 'similarity': p.similarity}) ELSE picked END
+    FROM walk w JOIN pool p ON p.user_id = w.user_id AND p.pos = w.pos + 1 WHERE len(picked) < 20),
+ended AS (SELECT user_id, arg_max(picked, pos) AS picked FROM walk GROUP BY user_id)
+SELECT user_id, rank, picked[rank].song_id AS song_id, picked[rank].best_seed AS best_seed, picked[rank].similarity AS similarity
+FROM (SELECT user_id, picked, unnest(range(1, len(picked) + 1))::INTEGER AS rank FROM ended)
+""", recursive=True)
+def jn1_jn3_win3_recommendations(spark, sf_dir):
+    """The whole retrieval: bounds on label lists, then the selection without other records, versions and full artists."""
+    mine = ad.collection(spark, sf_dir).where("user_id % 20 = 0")
+    got = rt.recommend_distinct(mine, ad.song_features(spark, sf_dir), ad.songs(spark, sf_dir), ad.external_ids(spark, sf_dir), TOP_K)
+    return got.select("user_id", "rank", "song_id", "best_seed", "similarity")
 
 
 @query(GRID.replace("{k}", "20") + "SELECT user_id, song_id, best_seed, best FROM final")

@@ -45,6 +45,16 @@ def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """song_id, field, value: two kinds of ids, some of which several songs share and some are blank."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    ids = F.array(
+        F.struct(F.lit("isrc").alias("field"), F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("value")),
+        F.struct(F.lit("mbid").alias("field"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("mb"), (k % 700).cast("string"))).alias("value")),
+    )
+    return p.select(k.alias("song_id"), F.inline(ids))
+
+
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, song_id, first_order: what each customer has ordered, in order of the first time."""
     o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
