@@ -84,10 +84,12 @@ walk_ids AS (
 info AS (
     SELECT song_id, ids, duration_ms AS d, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM songs JOIN walk_ids USING (song_id)),
 asked AS (""", 1) + r""",
+idrows AS (SELECT song_id, unnest(ids) AS id FROM info),
 gone AS (
-    SELECT DISTINCT x.user_id, o.song_id FROM asked x JOIN info k ON k.song_id = x.seed
-    JOIN info o ON o.song_id <> k.song_id AND (list_has_any(o.ids, k.ids) OR (o.a = k.a AND o.t = k.t AND o.t <> '' AND abs(o.d - k.d) <= 10000))),
-pool AS (
+    SELECT x.user_id, o.song_id FROM asked x JOIN idrows k ON k.song_id = x.seed JOIN idrows o ON o.id = k.id AND o.song_id <> k.song_id
+    UNION
+    SELECT x.user_id, o.song_id FROM asked x JOIN info k ON k.song_id = x.seed JOIN info o ON o.a = k.a AND o.t = k.t AND o.t <> '' AND o.song_id <> k.song_id AND abs(o.d - k.d) <= 10000),
+pool AS MATERIALIZED (
     SELECT user_id, f.song_id, best_seed, similarity, ids, a, t, d, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, f.song_id) AS pos
     FROM final f JOIN info USING (song_id) WHERE similarity > 0 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = f.user_id AND g.song_id = f.song_id)),
 walk(user_id, pos, picked) AS (
