@@ -88,7 +88,7 @@ class _Session(StatefulProcessor):
             excluded_songs=sorted(hidden), excluded_signatures=sorted(self._ordered("signatures")), seed_songs=self._ordered("seeds"),
         )
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
         seq, latest = self.newest.get()[0] if self.newest.exists() else -1, None
         for r in rows:
             seq, latest = max(seq, r.seq), r.ts if latest is None else max(latest, r.ts)
@@ -112,7 +112,7 @@ class _Session(StatefulProcessor):
         self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
         yield self._context(key[0], seq)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         for state in (*self.maps.values(), self.request, self.newest):
             state.clear()
         return iter(())
