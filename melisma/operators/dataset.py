@@ -63,6 +63,37 @@ def rank_analysis(trajectories: DataFrame) -> DataFrame:
     return keyed.groupBy("dim", "key").agg(n.alias("events"), F.sum("r").alias("reward10"), ratio(F.count_if(F.col("r") > 0), n).alias("positive_rate"), ratio(F.count_if(F.col("r") < 0), n).alias("negative_rate"))
 
 
+def ranking_feedback(contexts: DataFrame) -> DataFrame:
+    """dim, key, place, events, average_reward, positive_rate, negative_rate: feedback by rank, score bucket and source, and all of it.
+
+    contexts: reward (or null: left out), rank, score, source (null or blank: unknown). One pass with grouping sets. place orders
+    the keys of a dim: ranks as numbers with the unknown one last, others by name. Averages and rates have six places.
+    """
+    from melisma.functions.score import score_bucket
+
+    unknown = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown"))
+    rank = F.when(F.col("rank") == 0, "unknown").otherwise(unknown("rank"))
+    rows = contexts.where("reward IS NOT NULL").select("reward", rank.alias("rank"), F.when(F.col("score").isNull(), "unknown").otherwise(score_bucket(F.col("score"))).alias("bucket"), unknown("source").alias("source"))
+    n, dims = F.count(F.lit(1)), ("rank", "bucket", "source")
+    rate = lambda hits: F.round(F.count_if(hits) / n, 6)
+    grouped = rows.groupingSets([[], *[[F.col(d)] for d in dims]], *dims).agg(
+        F.grouping_id().alias("set"), n.alias("events"), F.round(F.avg("reward"), 6).alias("average_reward"), rate(F.col("reward") > 0).alias("positive_rate"), rate(F.col("reward") < 0).alias("negative_rate")
+    )
+    found = grouped.where("events > 0").withColumn("dim", F.when(F.col("set") == 0b011, "rank").when(F.col("set") == 0b101, "bucket").when(F.col("set") == 0b110, "source").otherwise("all"))
+    keyed = found.withColumn("key", F.coalesce(*dims, F.lit("all")))
+    number = F.when(F.col("dim") == "rank", F.coalesce(F.expr("try_cast(key AS INT)"), F.lit(2**31 - 1))).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(number, "key"))
+    return keyed.select("dim", "key", place.alias("place"), "events", "average_reward", "positive_rate", "negative_rate")
+
+
+def ranking_totals(contexts: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: runs that feedback came for, feedback events, those with a reward, and collection writes. contexts also: run_id, collects."""
+    per = contexts.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.count("reward").alias("rewarded"), F.count_if("collects").alias("writes"))
+    met = runs.select("run_id").distinct().join(per, "run_id")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return met.agg(F.count(F.lit(1)).alias("runs"), total("events"), total("rewarded"), total("writes"))
+
+
 def quality_totals(trajectories: DataFrame) -> DataFrame:
     """Generated, grounded and dropped proposals and thought coverage, by trajectory sums."""
     s = F.col("steps")

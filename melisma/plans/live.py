@@ -52,4 +52,4 @@ def st2_stream_affinity(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, kind, count(*) AS events, sum(reward10)::BIGINT AS reward10 FROM feedback GROUP BY ALL")
 def st8_windowed_plays(spark, sf_dir):
-    return run_to_end(signals.windowed_plays(event_stream(spark, sf_dir)), "complete").groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "kind").agg(F.max_by("events", "batch").alias("events"), F.max_by("reward10", "batch").alias("reward10"))
+    return run_to_end(signals.windowed_plays(event_stream(spark, sf_dir)), "update").groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "kind").agg(F.max_by("events", "batch").alias("events"), F.max_by("reward10", "batch").alias("reward10"))

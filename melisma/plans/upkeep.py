@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import text as tx
+from melisma.operators import dataset as ds
 from melisma.plans.live import run_to_end
 from melisma.plans.profiles import PREFS
 from melisma.plans.recommend import query
@@ -172,3 +173,48 @@ def flt6_flt7_whole_session_filter(spark: SparkSession, sf_dir: str) -> DataFram
     songs = ad.songs(spark, sf_dir).select("song_id", "artist", "title", "genre", tx.track_signature(F.col("title"), F.col("artist")).alias("signature"), (F.col("song_id") % 7).alias("k"))
     ranked = context.select("session_id", (F.col("session_id") % 7).alias("k")).join(songs, "k").withColumn("pos", F.col("song_id")).drop("k")
     return ss.filtered(ranked, context, ["title", "artist", "genre"]).select("session_id", "song_id", "nth")
+
+
+CONTEXTS = """
+shown AS (SELECT trajectory_id, song_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY min(seq)) AS rank FROM steps WHERE song_id % 2 = 0 GROUP BY trajectory_id, song_id),
+contexts AS (
+    SELECT s.trajectory_id AS run_id, CASE WHEN seq % 13 = 0 THEN NULL ELSE reward10 / 10.0::DOUBLE END AS reward, h.rank, CASE WHEN h.rank IS NOT NULL THEN (s.song_id % 12) / 10.0::DOUBLE END AS score,
+           ['web', 'player', ''][seq % 4 + 1] AS source, kind IN ('favorite', 'playlist_add') AS collects
+    FROM steps s LEFT JOIN shown h ON h.trajectory_id = s.trajectory_id AND h.song_id = s.song_id)
+"""
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ad.feedback(spark, sf_dir).withColumn("run_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    first = f.where("song_id % 2 = 0").groupBy("run_id", "song_id").agg(F.min("seq").alias("at"))
+    shown = first.select("run_id", "song_id", F.row_number().over(Window.partitionBy("run_id").orderBy("at")).alias("rank"))
+    source = F.get(F.array(F.lit("web"), F.lit("player"), F.lit("")), (F.col("seq") % 4).cast("int"))
+    return f.join(shown, ["run_id", "song_id"], "left").select(
+        "run_id", F.when(F.col("seq") % 13 != 0, F.col("reward10") / 10).alias("reward"), "rank", F.when(F.col("rank").isNotNull(), F.col("song_id") % 12 / F.lit(10.0)).alias("score"), source.alias("source"),
+        F.col("kind").isin("favorite", "playlist_add").alias("collects"),
+    )
+
+
+@query(CONTEXTS + """,
+rows AS (
+    SELECT reward, coalesce(rank::VARCHAR, 'unknown') AS rank, coalesce(nullif(source, ''), 'unknown') AS source,
+           CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 1 THEN '1.0-1.0' ELSE printf('%.1f-%.1f', floor(score * 5) / 5, floor(score * 5) / 5 + 0.2::DOUBLE) END AS bucket
+    FROM contexts WHERE reward IS NOT NULL),
+keyed AS (
+    SELECT 'all' AS dim, 'all' AS key, reward FROM rows UNION ALL SELECT 'rank', rank, reward FROM rows UNION ALL SELECT 'bucket', bucket, reward FROM rows UNION ALL SELECT 'source', source, reward FROM rows),
+totals AS (
+    SELECT dim, key, count(*) AS events, round(avg(reward), 6) AS average_reward, round(count(*) FILTER (WHERE reward > 0)::DOUBLE / count(*), 6) AS positive_rate,
+           round(count(*) FILTER (WHERE reward < 0)::DOUBLE / count(*), 6) AS negative_rate FROM keyed GROUP BY dim, key)
+SELECT *, row_number() OVER (PARTITION BY dim ORDER BY CASE WHEN dim = 'rank' THEN coalesce(try_cast(key AS BIGINT), 2147483647) ELSE 0 END, key) AS place FROM totals
+""")
+def agg12_ranking_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.ranking_feedback(_contexts(spark, sf_dir))
+
+
+@query(CONTEXTS + """
+SELECT count(DISTINCT run_id) AS runs, count(*) AS events, count(reward) AS rewarded, count(*) FILTER (WHERE collects) AS writes FROM contexts WHERE CAST(split_part(run_id, '-', 1) AS BIGINT) % 3 <> 0
+""")
+def agg12_ranking_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _contexts(spark, sf_dir)
+    runs = rows.where("CAST(substring_index(run_id, '-', 1) AS BIGINT) % 3 != 0").select("run_id")
+    return ds.ranking_totals(rows, runs)

@@ -42,6 +42,6 @@ def affinities(events: DataFrame) -> DataFrame:
 
 
 def windowed_plays(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events and rewards by kind and hour, with a watermark for late rows; for append mode."""
+    """Events and rewards by kind and hour, with a watermark that drops late rows and the state of past hours; for append or update mode."""
     hour = events.withWatermark("ts", late).groupBy(F.window("ts", width), "kind")
     return hour.agg(F.count(F.lit(1)).alias("events"), F.sum("reward10").alias("reward10")).select(F.col("window.start").alias("start"), "kind", "events", "reward10")

@@ -209,3 +209,33 @@ def test_replaced_profiles_keep_what_they_must(spark):
     assert got == {1: ([6, 7], [9], 0.5, 4), 2: ([], [], 0.1, 1)}
     got = {r.user_id: (r.ids, r.feedback, r.version) for r in profiles.imported(old, patch).collect()}
     assert got == {1: ([5, 6, 7], [1, 9], 4), 2: ([], [], 1)}
+
+
+def test_ranking_feedback_golden(spark):
+    rows = [("r1", 0.6, 1, 0.9, "web", False), ("r1", -0.4, 2, 0.3, "player", True), ("r2", None, 3, 0.5, "web", True), ("r2", 0.5, None, None, "", False), ("r2", 0.0, 10, 1.0, None, False)]
+    contexts = spark.createDataFrame(rows, "run_id string, reward double, rank long, score double, source string, collects boolean")
+    got = {(r.dim, r.key): r for r in dataset.ranking_feedback(contexts).collect()}
+    assert got["rank", "1"].average_reward == 0.6 and got["rank", "2"].average_reward == -0.4
+    assert got["source", "web"].events == got["source", "player"].events == 1 and got["source", "unknown"].events == 2
+    assert [k for _, k in sorted((r.place, k) for (d, k), r in got.items() if d == "rank")] == ["1", "2", "10", "unknown"]
+    assert (got["all", "all"].events, got["all", "all"].positive_rate, got["all", "all"].negative_rate) == (4, 0.5, 0.25)
+    totals = dataset.ranking_totals(contexts, spark.createDataFrame([("r1",), ("r3",)], "run_id string")).first()
+    assert tuple(totals) == (1, 2, 2, 1)
+    assert dataset.ranking_feedback(contexts.where("false")).isEmpty()
+
+
+def test_adjacent_diversity_equals_a_plain_replay():
+    import random
+
+    import pandas as pd
+
+    for seed in range(60):
+        rnd = random.Random(seed)
+        rows = [(1, i, i * 7, rnd.choice(["a", "A", "b", "C", "", None]), rnd.choice(["x", "X", "y", ""])) for i in range(rnd.randrange(1, 40))]
+        pool = pd.DataFrame(rows, columns=["list_id", "rank", "song_id", "artist", "cluster"])
+        left, order = list(rows), []
+        while left:
+            artist, cluster = ((order[-1][3] or "").lower(), order[-1][4].lower()) if order else ("", "")
+            fits = [i for i, r in enumerate(left) if (r[3] or "").lower() != artist and r[4].lower() != cluster]
+            order.append(left.pop(fits[0] if fits else 0))
+        assert sessions.adjacent_diversity(pool).song_id.tolist() == [r[2] for r in order]
