@@ -61,3 +61,28 @@ def src8_trajectories_newest_first(spark, sf_dir):
 
     t = ad.trajectories(spark, sf_dir)
     return t.select(F.concat_ws("-", F.col("user_id").cast("string"), "day").alias("trajectory_id"), "day", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day"))).alias("newest"))
+
+
+@query("""
+patched AS (SELECT song_id, CASE WHEN song_id % 3 = 0 THEN 'patched' ELSE title END AS title, artist, CASE WHEN song_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM songs)
+SELECT * FROM patched
+""")
+def snk1_published_upsert(spark, sf_dir):
+    """Songs published in buckets, patched there and read back."""
+    path = new_path(spark, "published")
+    s = ad.songs(spark, sf_dir).select("song_id", "title", "artist", F.lit(1).alias("version"))
+    files.publish(s, path, "song_id")
+    files.upsert(spark, s.where("song_id % 3 = 0").select("song_id", F.lit("patched").alias("title"), F.lit(None).cast("string").alias("artist")), path, "song_id")
+    return spark.read.parquet(path).select("song_id", "title", "artist", "version")
+
+
+@query(RECORDS + "," + SPLITS + """
+SELECT split, count(*) AS runs, count(DISTINCT user_id) AS users FROM records JOIN splits USING (user_id) GROUP BY split
+""")
+def snk5_split_manifest(spark, sf_dir):
+    """The manifest of published splits, read back."""
+    t, path = ad.trajectories(spark, sf_dir), new_path(spark, "published-splits")
+    runs = t.join(ds.user_splits(t.select("user_id").distinct()), "user_id").select("user_id", F.concat_ws("-", F.col("user_id").cast("string"), "day").alias("trajectory_id"), "split")
+    files.publish_splits(runs, path, 20260615)
+    read = spark.read.schema("split_runs map<string, bigint>, split_users map<string, bigint>, seed int").json(f"{path}/manifest")
+    return read.select(F.explode("split_runs").alias("split", "runs"), "split_users").select("split", "runs", F.element_at("split_users", F.col("split")).alias("users"))
