@@ -86,3 +86,25 @@ def snk5_split_manifest(spark, sf_dir):
     files.publish_splits(runs, path, 20260615)
     read = spark.read.schema("split_runs map<string, bigint>, split_users map<string, bigint>, seed int").json(f"{path}/manifest")
     return read.select(F.explode("split_runs").alias("split", "runs"), "split_users").select("split", "runs", F.element_at("split_users", F.col("split")).alias("users"))
+
+
+@query("""
+patches AS (
+    SELECT song_id, CASE WHEN song_id % 9 = 0 THEN ' ' ELSE split_part(title, ' ', 2) END AS second, (year - 1970) / 40.0::DOUBLE AS weight, song_id % 5 = 0 AS odd_kind, song_id % 7 = 0 AS spare, confidence10 FROM songs),
+told AS (
+    SELECT song_id, concat_ws('; ', CASE WHEN spare THEN 'unknown fields: note' END, CASE WHEN trim(second) = '' THEN 'collection_song_ids: names' END,
+        CASE WHEN weight > 1 THEN 'artist_preferences: weights' END, CASE WHEN odd_kind THEN 'feedback_memory: records' END) AS reasons FROM patches)
+SELECT song_id, reasons, reasons = '' AS valid FROM told
+""")
+def flt18_profile_patches(spark, sf_dir):
+    """Patches made from songs, some with blank names, weights above 1, unknown kinds of feedback or spare fields."""
+    from melisma.operators import validation as va
+
+    k = F.col("song_id")
+    record = F.struct(F.when(k % 5 == 0, "played").otherwise("play").alias("feedback_type"), k.cast("string").alias("song_id"), F.lit("2024-01-01").alias("timestamp"), F.lit(0.5).alias("reward_score"))
+    patch = F.struct(
+        F.array(F.get(F.split("title", " "), F.lit(0)), F.when(k % 9 == 0, " ").otherwise(F.get(F.split("title", " "), F.lit(1)))).alias("collection_song_ids"),
+        F.create_map("artist", (F.col("year") - 1970) / F.lit(40.0)).alias("artist_preferences"), F.array(record).alias("feedback_memory"), F.when(k % 7 == 0, "x").alias("note"),
+    )
+    rows = ad.songs(spark, sf_dir).select("song_id", F.to_json(patch).alias("patch"))
+    return va.judged(rows, "patch", va.PROFILE_PATCH).select("song_id", F.array_join("reasons", "; ").alias("reasons"), (F.size("reasons") == 0).alias("valid"))
