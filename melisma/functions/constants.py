@@ -9,7 +9,6 @@ RANK_WEIGHTS = {"retrieval": 0.50, "artist": 0.08, "genre": 0.14, "tag": 0.18, "
 DIVERSITY_PENALTY = 0.15
 FEEDBACK_WEIGHT = 0.15
 DIVERSITY_WEIGHTS = {"artist": 0.20, "genres": 0.40, "tags": 0.40}
-POOL_FACTOR = 5
 REWARDS = {"play": 0.1, "play_complete": 0.4, "skip": -0.4, "quick_skip": -0.8, "favorite": 0.8, "like": 0.6, "dislike": -1.0, "playlist_add": 1.0, "replay": 0.5}
 FEEDBACK_SIMILARITY = {"artist": 0.25, "genres": 0.35, "tags": 0.40}
 FEEDBACK_THRESHOLD = 0.30

@@ -15,10 +15,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feedback adapter over a file stream of the events."""
     schema = ad.table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    kinds = {"view": ("play", 1), "click": ("like", 6), "purchase": ("playlist_add", 10), "signup": ("favorite", 8)}
-    kind, reward = F.lit("dislike"), F.lit(-10)
-    for event, (name, value) in kinds.items():
-        kind, reward = F.when(F.col("event_type") == event, name).otherwise(kind), F.when(F.col("event_type") == event, value).otherwise(reward)
+    kind, reward = ad.event_feedback(F.col("event_type"))
     return raw.select("user_id", F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("bigint").alias("song_id"), kind.alias("kind"), reward.cast("bigint").alias("reward10"), F.col("ts").cast("timestamp").alias("ts"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from melisma.functions import constants as K
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,12 +63,22 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("song_id")).agg(F.min("l_orderkey").alias("first_order"))
 
 
+#: What an event of the driver's table stands for; anything else is a dislike.
+EVENT_KINDS = {"view": "play", "click": "like", "purchase": "playlist_add", "signup": "favorite"}
+
+
+def event_feedback(event: Column) -> tuple[Column, Column]:
+    """An event's kind of feedback and its reward in tenths."""
+    kind, tenths = F.lit("dislike"), lambda name: F.lit(round(10 * K.REWARDS[name]))
+    reward = tenths("dislike")
+    for name, means in EVENT_KINDS.items():
+        kind, reward = F.when(event == name, means).otherwise(kind), F.when(event == name, tenths(means)).otherwise(reward)
+    return kind, reward
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, seq, song_id, kind, reward10 (tenths), ts, value100."""
-    kinds = {"view": ("play", 1), "click": ("like", 6), "purchase": ("playlist_add", 10), "signup": ("favorite", 8), "error": ("dislike", -10)}
-    kind, reward = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for event, (name, value) in kinds.items():
-        kind, reward = F.when(F.col("event_type") == event, name).otherwise(kind), F.when(F.col("event_type") == event, value).otherwise(reward)
+    kind, reward = event_feedback(F.col("event_type"))
     return table(spark, sf_dir, "events").select(
         "user_id", F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("bigint").alias("song_id"), kind.alias("kind"), reward.cast("bigint").alias("reward10"), "ts", F.round(F.col("value") * 100).cast("bigint").alias("value100")
     )
