@@ -18,20 +18,27 @@ again. An index bucket of a frequent n-gram is dealt over several tasks; its cla
 Groups of thousands of near copies are not paired among themselves. A first round compares every member of an index
 bucket with one leader of it (the set with the least share of rare n-grams) and forms components of the links found. A second
 round generates the remaining candidates, which are pairs of the same bucket in different components; pairs within
-one component can't change the result. So no link that matters for the components is lost.
+one component can't change the components, which are thus exact. Dropping similar rows needs no more than that.
+
+The numbers of links are exact too. Every link lies within a component, so all pairs of a component's sets are compared
+there: in one block, or, for a component beyond ``BLOCK_SETS`` or ``BLOCK_GRAMS``, in all pairs of blocks whose sizes
+allow a link. A pair of blocks is one small matrix product; only counts leave it, never the pairs.
 
 Classes, indexes, pairs and links are written tables. Texts are never shuffled: later passes find theirs by a Bloom
 filter of bounded size over the document ids, and what it lets through too much is dropped by the joins that follow.
 
 Defined results: null and blank texts have an empty set, link with nothing and are components of their own; texts
 with fewer words than n have their whole word sequence as one n-gram, whatever a text's length; rows of equal sets
-share a class, also if their ids repeat; component_id is the smallest id of the component (null if it has none);
+share a class, also if their ids repeat; class_id is the smallest id of the class (that of a row with an empty set its
+own), class_links counts the other classes that it links with, doc_links the other rows that a row links with, those
+of its class included; component_id is the smallest id of the component (null if it has none);
 other columns are not read by the join, and ``drop_similar`` hands all of them on; an empty input gives an empty
 output.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,6 +66,8 @@ HEAVY, SPLIT = 10_000, 1_000
 SEEN = 200_000
 #: Entries in a record batch.
 ROWS = 100_000
+#: Sets, and n-grams in them, of about one block when links are counted; numbers in a matrix there.
+BLOCK_SETS, BLOCK_GRAMS, CELLS = 512, 500_000, 2_000_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTES = np.arange(256)
 #: A number for each byte, the same for both cases of A to Z.
@@ -543,11 +552,110 @@ def _apart(held: DataFrame, percent: int) -> DataFrame:
     return met.select(x["ord"], F.col("x_s1").alias("a1"), F.col("x_s2").alias("a2"), F.col("y_s1").alias("b1"), F.col("y_s2").alias("b2"))
 
 
-def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, tag, size, s1, s2) of every row; (s1, s2, rep, c1, c2) of every class; the links. All but the second are written."""
+def links_of(sets: list[np.ndarray], copies: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, how many others it links with, and the sum of their ``copies``; pairs are those of a low and a high set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, place, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    again = found > 1
+    held = again[place]
+    owner, place = owner[held], (np.cumsum(again) - 1)[place[held]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    x, y = np.flatnonzero(low), np.flatnonzero(high)
+    shared = np.zeros((len(x), len(y)), np.int64)
+    width, used = max(1, CELLS // len(sets)), int(again.sum())
+    for at in range(0, used, width):
+        a, b = np.searchsorted(place, [at, at + width])
+        matrix = np.zeros((len(sets), min(width, used - at)), np.float32)
+        matrix[owner[a:b], place[a:b] - at] = 1
+        shared += (matrix[x] @ matrix[y].T).astype(np.int64)
+    linked = (100 * shared >= percent * (sizes[x][:, None] + sizes[y] - shared)) & (x[:, None] != y)
+    count, others = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    count[x], others[x] = linked.sum(axis=1), linked @ copies[y]
+    only = high & ~low  # in one block with itself both sides are the same sets
+    count[only], others[only] = linked.sum(axis=0)[only[y]], (linked.T @ copies[x])[only[y]]
+    return count, others
+
+
+def _blocked(members: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2, copies, c1, c2, low, high, side): the pairs of blocks (low, high) of its component that each class is compared in.
+
+    side: 0 for a class of the low block, 1 of the high one, 2 of both. Blocks are bands of sizes, of which only a band
+    and the next can hold links, dealt further by hash.
+    """
+
+    def blocks() -> Column:
+        return F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS)), F.sum("size") / F.lit(float(BLOCK_GRAMS)))).cast("int")
+
+    whole = members.groupBy("c1", "c2").agg(blocks().alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = written(members.join(whole, ["c1", "c2"]), "component-members")
+    small = held.where("blocks = 1").select("s1", "s2", "copies", "c1", "c2", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(2).alias("side"))
+    # Slightly wide, so that rounding never puts sets that can link two bands apart.
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(max(math.log(100 / percent), 1e-6) * (1 + 1e-6))).cast("int")
+    large = held.where("blocks > 1").drop("blocks").withColumn("band", band)
+    bands = written(large.groupBy("c1", "c2", "band").agg(blocks().alias("blocks")), "component-bands")
+    own = large.join(bands, ["c1", "c2", "band"]).withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")).drop("blocks")
+    near = own.withColumn("off", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    other = bands.select("c1", "c2", F.col("band").alias("other"), "blocks")
+    met = near.withColumn("other", F.col("band") + F.col("off")).join(other, ["c1", "c2", "other"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = lambda b, k: F.shiftleft(F.col(b).cast("long"), 32) + F.col(k)
+    x, y = place("band", "block"), place("other", "j")
+    side = F.when(x < y, 0).when(x > y, 1).otherwise(2)
+    return small.union(met.select("s1", "s2", "copies", "c1", "c2", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"), side.alias("side")))
+
+
+def counted_links(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
+    """Written s1, s2, class_links, other_docs of every class that links with others. ``named``: see ``grouped``; written."""
+    cells = written(_blocked(named.select("s1", "s2", "size", "copies", "c1", "c2"), percent), "component-blocks")
+    wanted = classes_of(cells)
+    sets = _made(docs, wanted, named, n, "sets", "binary", lambda g: g.tobytes())
+    keys, names = ["c1", "c2", "low", "high"], ["s1", "s2", "copies", "side", "sets"]
+    rows = cells.join(sets, ["s1", "s2"]).select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys)
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int32()), ("class_links", pa.int64()), ("other_docs", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, out = None, {}, []
+
+        def close() -> None:
+            # A class of several rows (its copies were met by several tasks) is held once.
+            if len(held) > 1:
+                copies, side, values = zip(*held.values())
+                side = np.array(side)
+                count, others = links_of([np.frombuffer(v, np.uint64) for v in values], np.array(copies, np.int64), side != 1, side != 0, percent)
+                out.extend((*k, c, o) for k, c, o in zip(held, count.tolist(), others.tolist()) if c)
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [c.to_pylist() for c in part.columns]
+                for c1, c2, low, high, s1, s2, copies, side, value in zip(*columns):
+                    if cell != (c1, c2, low, high):
+                        close()
+                        cell = c1, c2, low, high
+                    held[s1, s2] = copies, side, value
+                if len(out) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                    out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    found = rows.mapInArrow(read, "s1 long, s2 int, class_links long, other_docs long")
+    table = written(found.groupBy("s1", "s2").agg(F.sum("class_links").alias("class_links"), F.sum("other_docs").alias("other_docs")), "link-counts")
+    discard(cells, wanted, sets)
+    return table
+
+
+def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, size, s1, s2) of every row; (s1, s2, rep, size, copies, c1, c2) of every class, (c1, c2) its component.
+
+    Components are exact, though not every link within them is looked at; ``counted_links`` counts all of them.
+    """
     found = classes(docs, n)
     by_doc = found.where("token IS NULL").select("doc_id", "tag", "size", "s1", "s2")
-    by_class = by_doc.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    by_class = by_doc.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.count(F.lit(1)).alias("copies"))
     index = indexed(docs, by_class, n, percent, frequent_tokens(found), heavy)
 
     led = index.where("s1 != l_s1 OR s2 != l_s2").where(_possible(F.col("place"), F.col("l_place"), percent))
@@ -566,20 +674,22 @@ def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[
         group = written(components(links), "groups")
     discard(index, at, first, rest)
     named = by_class.join(group, ["s1", "s2"], "left").withColumn("c1", F.coalesce("c1", "s1")).withColumn("c2", F.coalesce("c2", "s2"))
-    return by_doc, named, links
+    return by_doc, named
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_links (links found of its class) for each row of docs (doc_id, text)."""
-    by_doc, named, links = grouped(docs, n, percent, heavy)
-    degree = links.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(links.select("b1", "b2")).groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("class_links"))
+    """doc_id, n_shingles, component_id, class_links, class_id and doc_links for each row of docs (doc_id, text)."""
+    by_doc, named = grouped(docs, n, percent, heavy)
     named = written(named, "class-components")
+    counts = counted_links(docs, named, n, percent)
     # A table of its own, so that the join with a component of many classes can be split.
     smallest = written(named.groupBy("c1", "c2").agg(F.min("rep").alias("component_id")), "component-ids")
-    table = written(named.join(smallest, ["c1", "c2"]).join(degree, ["s1", "s2"], "left").select("s1", "s2", "component_id", "class_links"), "class-ids")
+    others = F.coalesce("other_docs", F.lit(0)) + F.col("copies") - 1
+    table = written(named.join(smallest, ["c1", "c2"]).join(counts, ["s1", "s2"], "left").select("s1", "s2", "component_id", "class_links", F.col("rep").alias("class_id"), others.alias("doc_links")), "class-ids")
     out = by_doc.join(table, ["s1", "s2"], "left")
-    own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    own = lambda c: F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own("component_id"), number("class_links"), own("class_id"), number("doc_links"))
 
 
 def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
@@ -588,7 +698,7 @@ def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = HE
     Rows are told apart by id and text; of rows equal in both, in a component or not, one stays. Rows with an empty
     set stay as they are.
     """
-    by_doc, named, _ = grouped(docs, n, percent, heavy)
+    by_doc, named = grouped(docs, n, percent, heavy)
     rows = by_doc.where("size > 0").join(named.select("s1", "s2", "c1", "c2"), ["s1", "s2"])
     rows = written(rows.select("c1", "c2", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag").alias("row")), "component-rows")
     # A table of its own, so that the join with a component of many rows can be split.

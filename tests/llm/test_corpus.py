@@ -226,6 +226,24 @@ def test_components_equal_brute_force(spark, real, n, percent):
     assert sorted(got, key=str) == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("block_sets", [512, 4])
+def test_every_link_is_counted(spark, monkeypatch, block_sets):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block_sets)
+    n, percent = 3, 80
+    rows = near_copies() + [(500 + i, " ".join(sentence(11, 80).split()[: 80 - i])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.class_links, r.class_id, r.doc_links) for r in jaccard.similar_components(frame, n, percent).collect() if r.doc_id is not None and r.doc_id >= 100}
+    words = {d: t.split() for d, t in rows if d is not None and d >= 100}
+    sets = {d: frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for d, w in words.items()}
+    linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    distinct = set(sets.values())
+    for d, own in sets.items():
+        classes = sum(own != other and linked(own, other) for other in distinct)
+        docs = sum(e != d and linked(own, other) for e, other in sets.items())
+        assert got[d] == (classes, min(e for e, other in sets.items() if other == own), docs)
+    assert max(x[0] for x in got.values()) > 30
+
+
 def test_drop_similar_edges(docs, empty):
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
