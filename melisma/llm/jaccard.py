@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -459,13 +460,13 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, by_class: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a1, a2, b1, b2; a written table) whose sets reach the Jaccard index; written.
+def _linked(pairs: DataFrame, docs: DataFrame, by_class: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs (a1, a2, b1, b2; a written table) whose sets reach the Jaccard index, and s1, s2, sets of their classes; written.
 
     Bitmaps rule out the pairs that can't link, so that few whole sets are shuffled.
     """
     if pairs.isEmpty():
-        return pairs
+        return pairs, None
     names = ["a1", "a2", "b1", "b2"]
 
     @F.pandas_udf("boolean")
@@ -481,14 +482,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, by_class: DataFrame, n: int, perc
     left = written(_with_both(pairs, bitmaps, "bitmaps").where(may("a", "b")).select(*names).distinct(), "bounded-pairs")
     discard(wanted, bitmaps)
     if left.isEmpty():
-        return left
+        return left, None
     wanted = _candidates(left)
     sets = _made(docs, wanted, by_class, n, "sets", "array<bigint>", lambda g: g.astype(np.int64))
     shared = F.size(F.array_intersect("a", "b"))
     links = _with_both(left, sets, "sets").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared))
     out = written(links.select(*names).distinct(), "links")
-    discard(wanted, sets, left)
-    return out
+    discard(wanted, left)
+    return out, sets
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -605,11 +606,9 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
     return small.union(met.select("s1", "s2", "copies", "c1", "c2", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"), side.alias("side")))
 
 
-def counted_links(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
-    """Written s1, s2, class_links, other_docs of every class that links with others. ``named``: see ``grouped``; written."""
+def counted_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Written s1, s2, class_links, other_docs of every class that links with others. For named (written) and sets see ``grouped``."""
     cells = written(_blocked(named.select("s1", "s2", "size", "copies", "c1", "c2"), percent), "component-blocks")
-    wanted = classes_of(cells)
-    sets = _made(docs, wanted, named, n, "sets", "binary", lambda g: g.tobytes())
     keys, names = ["c1", "c2", "low", "high"], ["s1", "s2", "copies", "side", "sets"]
     rows = cells.join(sets, ["s1", "s2"]).select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys)
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int32()), ("class_links", pa.int64()), ("other_docs", pa.int64())])
@@ -618,23 +617,24 @@ def counted_links(docs: DataFrame, named: DataFrame, n: int, percent: int) -> Da
         cell, held, out = None, {}, []
 
         def close() -> None:
-            # A class of several rows (its copies were met by several tasks) is held once.
+            # A class of several rows (its set was made by several tasks, or in both rounds) is held once.
             if len(held) > 1:
                 copies, side, values = zip(*held.values())
                 side = np.array(side)
-                count, others = links_of([np.frombuffer(v, np.uint64) for v in values], np.array(copies, np.int64), side != 1, side != 0, percent)
+                count, others = links_of(list(values), np.array(copies, np.int64), side != 1, side != 0, percent)
                 out.extend((*k, c, o) for k, c, o in zip(held, count.tolist(), others.tolist()) if c)
             held.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = [c.to_pylist() for c in part.columns]
-                for c1, c2, low, high, s1, s2, copies, side, value in zip(*columns):
+                columns = [c.to_pylist() for c in part.columns[:-1]]
+                ends, grams = part.column(8).offsets.to_pylist(), part.column(8).values.to_numpy()
+                for c1, c2, low, high, s1, s2, copies, side, a, b in zip(*columns, ends, ends[1:]):
                     if cell != (c1, c2, low, high):
                         close()
                         cell = c1, c2, low, high
-                    held[s1, s2] = copies, side, value
+                    held[s1, s2] = copies, side, grams[a:b].copy()
                 if len(out) >= ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out.clear()
@@ -644,13 +644,15 @@ def counted_links(docs: DataFrame, named: DataFrame, n: int, percent: int) -> Da
 
     found = rows.mapInArrow(read, "s1 long, s2 int, class_links long, other_docs long")
     table = written(found.groupBy("s1", "s2").agg(F.sum("class_links").alias("class_links"), F.sum("other_docs").alias("other_docs")), "link-counts")
-    discard(cells, wanted, sets)
+    discard(cells)
     return table
 
 
-def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(doc_id, tag, size, s1, s2) of every row; (s1, s2, rep, size, copies, c1, c2) of every class, (c1, c2) its component.
 
+    The third are written s1, s2, sets rows: the n-grams of every class that links with another, others and repeats.
+
     Components are exact, though not every link within them is looked at; ``counted_links`` counts all of them.
     """
     found = classes(docs, n)
@@ -661,27 +663,29 @@ def grouped(docs: DataFrame, n: int, percent: int, heavy: int = HEAVY) -> tuple[
     led = index.where("s1 != l_s1 OR s2 != l_s2").where(_possible(F.col("place"), F.col("l_place"), percent))
     first = led.select("ord", *_ordered((F.col("s1"), F.col("s2")), (F.col("l_s1"), F.col("l_s2"))))
     first = written(_under_all_orders(first), "leader-pairs")
-    links = _linked(first, docs, by_class, n, percent)
+    links, sets = _linked(first, docs, by_class, n, percent)
     group = written(components(links), "groups")
 
     # What is left: pairs of one bucket in different components, each under every order.
     at = written(_labelled(index.select("ord", "token", "split", "s1", "s2", "place"), group), "labelled-index")
     rest = _apart(_open(at.where("NOT split"), False), percent).union(_apart(written(_open(at.where("split"), True), "open-buckets"), percent))
     rest = written(_under_all_orders(rest).join(first, ["a1", "a2", "b1", "b2"], "left_anti"), "other-pairs")
-    more = _linked(rest, docs, by_class, n, percent)
+    more, others = _linked(rest, docs, by_class, n, percent)
     if not more.isEmpty():
         links = written(links.union(more), "all-links")
         group = written(components(links), "groups")
     discard(index, at, first, rest)
     named = by_class.join(group, ["s1", "s2"], "left").withColumn("c1", F.coalesce("c1", "s1")).withColumn("c2", F.coalesce("c2", "s2"))
-    return by_doc, named
+    return by_doc, named, [t for t in (sets, others) if t is not None]
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id, class_links, class_id and doc_links for each row of docs (doc_id, text)."""
-    by_doc, named = grouped(docs, n, percent, heavy)
+    by_doc, named, sets = grouped(docs, n, percent, heavy)
     named = written(named, "class-components")
-    counts = counted_links(docs, named, n, percent)
+    none = named.select("s1", "s2", F.array().cast("array<bigint>").alias("sets")).where("false")
+    counts = counted_links(named, reduce(DataFrame.union, sets, none), percent)
+    discard(*sets)
     # A table of its own, so that the join with a component of many classes can be split.
     smallest = written(named.groupBy("c1", "c2").agg(F.min("rep").alias("component_id")), "component-ids")
     others = F.coalesce("other_docs", F.lit(0)) + F.col("copies") - 1
@@ -698,7 +702,8 @@ def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80, heavy: int = HE
     Rows are told apart by id and text; of rows equal in both, in a component or not, one stays. Rows with an empty
     set stay as they are.
     """
-    by_doc, named = grouped(docs, n, percent, heavy)
+    by_doc, named, sets = grouped(docs, n, percent, heavy)
+    discard(*sets)
     rows = by_doc.where("size > 0").join(named.select("s1", "s2", "c1", "c2"), ["s1", "s2"])
     rows = written(rows.select("c1", "c2", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag").alias("row")), "component-rows")
     # A table of its own, so that the join with a component of many rows can be split.
