@@ -42,9 +42,10 @@ CACHE = 400_000
 BATCH_SEQUENCES, BATCH_DOCS = 64, 256
 #: Pre-tokens never span from a character that isn't white space to a following space or line end.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-#: The same for texts without other white space.
-ODD_SPACE, PLAIN_SEGMENT = re.compile(r"[^\S \n]"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-MARKS = ".,;:!?*#$%&|"
+#: The same for texts without other white space. Latin letters and digits are cut from marks behind them, so that words
+#: are known whatever follows.
+ODD_SPACE = re.compile(r"[^\S \n]")
+PLAIN_SEGMENT = re.compile(r"[ \n]*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^ \n.,;:!?*#$%&|])|[ \n]*[^ \n]+|[ \n]+")
 MANIFEST = "part long, sequences string, documents string, n_ids long, n_docs long"
 
 
@@ -60,38 +61,33 @@ class Encoder:
         if sys.byteorder != "little":
             raise OSError("the files hold little-endian numbers")
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
+        self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # How a byte-level pre-tokenizer shows bytes; other pre-tokenizers split every segment themselves.
         shows = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.bytewise = [p for p, _ in shows(" a\u00e9.")] == ["\u0120a\u00c3\u00a9", "."]
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(odd)}
-        self.known, self.pieces = Memo(self._encode, CACHE), Memo(self._piece, CACHE)
+        # Cuts behind letters are sound for it alone, and where no added token begins with a letter: only then a cut could stand in one.
+        self.plain = PLAIN_SEGMENT if self.bytewise and not any(t[:1].isalnum() for t in self.added) else SEGMENT
+        self.known = Memo(self._encode, CACHE)
 
     def _encode(self, segment: str) -> bytes:
         """A segment's ids, by the library's pre-tokenizer and model; added tokens by its whole pipeline."""
-        if any(t in segment for t in self.added):
-            return self._packed(self.tokenizer.encode(segment, add_special_tokens=False).ids)
-        return b"".join([self.pieces[p] for p in self._pre_tokens(segment)])
-
-    def _pre_tokens(self, segment: str) -> list[str]:
-        """Letters after a space, and marks behind them, are seen at once; the library splits all else."""
-        head = segment.rstrip(MARKS)
-        if self.bytewise and head[:1] == " " and head[1:].isalpha():
-            tail = segment[len(head) :]
-            word = head.encode().decode("latin-1").translate(self.shown)
-            return [word, tail] if tail else [word]
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(segment)]
+        for t in self.added:
+            if t in segment:
+                return self._packed(self.tokenizer.encode(segment, add_special_tokens=False).ids)
+        tokenize = self.model.tokenize
+        if self.bytewise and segment[:1] == " " and segment[1:].isalpha():  # one pre-token
+            word = "\u0120" + segment[1:] if segment.isascii() else segment.encode().decode("latin-1").translate(self.shown)
+            return self._packed([t.id for t in tokenize(word)])
+        return self._packed([t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(segment) for t in tokenize(p)])
 
     def _packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece)])
+        return array(self.code, ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known[s] for s in (SEGMENT if ODD_SPACE.search(text) else PLAIN_SEGMENT).findall(text)])
+        return b"".join(map(self.known.__getitem__, (SEGMENT if ODD_SPACE.search(text) else self.plain).findall(text)))
 
 
 _READY: dict[str, Encoder] = {}
@@ -113,7 +109,7 @@ class _Sequences:
     def __init__(self, store: fs.FileSystem, path: str, dtype: np.dtype, length: int):
         if length % 8:
             raise ValueError("a sequence's length must be a multiple of 8, since masks are packed bits")
-        self.length, self.dtype, self.rest, self.n = length, dtype, b"", 0
+        self.length, self.dtype, self.rest, self.n = length, dtype, bytearray(), 0
         item = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.out = store.open_output_stream(path)
@@ -124,8 +120,8 @@ class _Sequences:
         self.n += len(ids) // self.dtype.itemsize
         block = BATCH_SEQUENCES * self.length * self.dtype.itemsize
         while len(self.rest) >= block:
-            self._batch(np.frombuffer(self.rest[:block], self.dtype), block // self.dtype.itemsize)
-            self.rest = self.rest[block:]
+            self._batch(np.frombuffer(bytes(self.rest[:block]), self.dtype), block // self.dtype.itemsize)
+            del self.rest[:block]
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
         bits = np.packbits(np.arange(len(ids)) < real, bitorder="little")
@@ -133,7 +129,7 @@ class _Sequences:
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
-        ids = np.frombuffer(self.rest, self.dtype)
+        ids = np.frombuffer(bytes(self.rest), self.dtype)
         if len(ids):
             self._batch(np.concatenate([ids, np.zeros(-len(ids) % self.length, self.dtype)]), len(ids))
         self.file.close()

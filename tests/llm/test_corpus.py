@@ -321,6 +321,15 @@ def test_encoder_equals_library():
         assert np.frombuffer(code.ids(text), code.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_knows_words_whatever_follows():
+    from tokenizers import Tokenizer
+
+    code, library = packing.Encoder(queries._model("byte_bpe_50k.json")), Tokenizer.from_file(queries._model("byte_bpe_50k.json"))
+    for text in ["a word word. word, word$$$ word|", "é.é ×. 5:30 ½.", "x.<|endoftext|>, endoftext|> a.<|endoftext|>", "don't. (a).b) c)."]:
+        assert np.frombuffer(code.ids(text), code.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [k for k in code.known if "word" in k] == [" word"]
+
+
 # Quality rules
 
 
