@@ -430,7 +430,8 @@ def _made(docs: DataFrame, wanted: DataFrame, by_class: DataFrame, n: int, name:
             if held:
                 yield batch(held)
 
-    return written(_texts(docs).mapInArrow(read, f"s1 long, s2 int, {name} {kind}"), f"candidate-{name}")
+    # Few rows come from many tasks: dealt by class they are written as few files.
+    return written(_texts(docs).mapInArrow(read, f"s1 long, s2 int, {name} {kind}").repartition("s1", "s2"), f"candidate-{name}")
 
 
 def bitmap(grams: np.ndarray) -> bytes:

@@ -244,6 +244,14 @@ def test_every_link_is_counted(spark, monkeypatch, block_sets):
     assert max(x[0] for x in got.values()) > 30
 
 
+def test_few_sets_of_many_tasks_are_few_files(spark):
+    frame = spark.createDataFrame([(i, sentence(i + 3, 30)) for i in range(40)], "doc_id long, text string").repartition(40)
+    by_class = jaccard.classes(frame, 3).where("size > 0").select("s1", "s2", F.col("doc_id").alias("rep"))
+    made = jaccard._made(frame, jaccard.classes_of(by_class), by_class, 3, "sets", "array<bigint>", lambda g: g.astype(np.int64))
+    assert made.select("s1", "s2").distinct().count() == by_class.select("s1", "s2").distinct().count()
+    assert len(made.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_drop_similar_edges(docs, empty):
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
