@@ -11,10 +11,15 @@ from melisma.sources import adapters as ad
 from melisma.streaming import signals
 
 
+def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream of a table's files, whether the table is one file or a folder of part files."""
+    # A pattern matches both; a path without one must be a folder.
+    return spark.readStream.schema(ad.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feedback adapter over a file stream of the events."""
-    schema = ad.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = file_stream(spark, sf_dir, "events")
     kind, reward = ad.event_feedback(F.col("event_type"))
     return raw.select("user_id", F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("bigint").alias("song_id"), kind.alias("kind"), reward.cast("bigint").alias("reward10"), F.col("ts").cast("timestamp").alias("ts"))
 

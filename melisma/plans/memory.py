@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from melisma.operators import memory as me
-from melisma.plans.live import run_to_end
+from melisma.plans.live import file_stream, run_to_end
 from melisma.plans.profiles import PROFILES, SHOWN, _profiles, _shown
 from melisma.plans.recommend import query
 from melisma.session import ship_package
@@ -107,7 +107,7 @@ FROM turns t LEFT JOIN seen s ON s.session_id = t.session_id LEFT JOIN rings r O
 """)
 def st3_session_memory(spark, sf_dir):
     ship_package(spark)
-    raw = spark.readStream.schema(ad.table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    raw = file_stream(spark, sf_dir, "conversations")
     turns = raw.select(F.col("conv_id").alias("session_id"), "turn", "role", "text", F.array((F.col("conv_id") + F.col("turn")) % 50, F.col("conv_id") * F.col("turn") % 7).alias("ids"))
     return run_to_end(me.session_memory(turns), "update").groupBy("session_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("turn_count", "seen", "messages", "first_kept", "chars")])
 
