@@ -14,14 +14,18 @@ that has been idle for ``idle_ms`` of event time. Both give CONTEXT rows; a stre
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from melisma.functions import text
 from melisma.operators import sessions as se
+from melisma.session import ship_package, written
 
 #: What events do.
 SEEDS, HIDES = ("liked", "saved", "request_similar"), ("hide_track", "skipped")
@@ -145,5 +149,98 @@ def filtered(ranked: DataFrame, context: DataFrame, labels: list[str], cap: int
     return once.select(*ranked.columns, "nth", "evidence")
 
 
+def filtered_lists(sessions: DataFrame, context: DataFrame, lists: DataFrame, labels: list[str], cap: int = 2) -> DataFrame:
+    """session_id, song_id, nth as ``filtered`` gives them, where many sessions share a ranked list.
+
+    sessions: session_id, list_id. lists: list_id, pos, song_id, artist, signature and the labels. A list is packed once, its
+    songs with equal labels, signature and artist as one class; a term is looked for once in each distinct label of a list,
+    and a session then goes through classes and the few songs that it excludes.
+    """
+    ship_package(sessions.sparkSession)
+    texts = [f"_{i}{form}" for i in range(len(labels)) for form in "tc"]
+    made = [f(F.coalesce(F.col(x), F.lit(""))).alias(f"_{i}{form}") for i, x in enumerate(labels) for form, f in (("t", text.session_text), ("c", text.compact))]
+    rows = lists.select("list_id", "pos", "song_id", F.coalesce("signature", F.lit("")).alias("signature"), text.session_text(F.col("signature")).alias("shown"), text.session_text(F.coalesce("artist", F.lit(""))).alias("artist"), *made)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        columns = {c: rows.column(c).combine_chunks().dictionary_encode() for c in ("signature", "shown", "artist", *texts)}
+        code = np.stack([x.indices.to_numpy() for x in columns.values()], axis=1)
+        kinds, cls = np.unique(code, axis=0, return_inverse=True)
+        cls = cls.ravel()
+        order = np.argsort(cls, kind="stable")
+        out = {"song_id": rows.column("song_id").to_numpy(), "cls": cls, "places": order, "ends": np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=len(kinds)))])}
+        out |= {c: (kinds[:, i], columns[c].dictionary.to_pylist()) for i, c in enumerate(columns)}
+        return pa.table({"list_id": rows.column("list_id").slice(0, 1), "songs": pa.array([pickle.dumps(out, 5)], pa.binary())})
+
+    packed = written(rows.groupBy("list_id").applyInArrow(pack, "list_id long, songs binary"), "ranked-lists")
+    pair = lambda terms: F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.struct(text.session_text(t).alias("t"), text.compact(t).alias("c")))
+    c = context.select("session_id", pair(F.col("exclude_terms")).alias("avoid"), F.when(F.size("preference_terms") > 0, pair(se.effective_terms(F.col("preference_terms")))).alias("terms"), "excluded_songs", "excluded_signatures")
+    asked = sessions.join(c, "session_id", "left")
+    blocks = F.pmod(F.xxhash64("session_id"), F.lit(max(1, sessions.count() // SESSIONS_A_BLOCK)))
+    asked = asked.groupBy("list_id", blocks.alias("b")).agg(F.collect_list(F.struct(*c.columns)).alias("sessions"))
+    asked = asked.repartition(8 * sessions.sparkSession.sparkContext.defaultParallelism, "list_id", "b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, found = pickle.loads(batch.column("songs")[i].as_py()), [[], [], []]
+                looked: dict[tuple, np.ndarray] = {}
+                for x in batch.column("sessions")[i].as_py():
+                    at, nth = _kept(x, block, texts, cap, looked)
+                    for to, some in zip(found, (np.full(len(at), x["session_id"]), block["song_id"][at], nth.astype(np.int32))):
+                        to.append(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["session_id", "song_id", "nth"])
+
+    return asked.join(packed, "list_id").select("sessions", "songs").mapInArrow(keep, "session_id long, song_id long, nth int")
+
+
+#: Sessions that meet a list at once, where all have the same one.
+SESSIONS_A_BLOCK = 512
+
+
+def _kept(session: dict, block: dict, texts: list[str], cap: int, looked: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the songs of a list that a session's context leaves, and which of their artist's each one is."""
+    n, (signature, signatures), (shown, names), (artist, artists) = len(block["ends"]) - 1, block["signature"], block["shown"], block["artist"]
+
+    def hit(term: dict) -> np.ndarray:
+        key = (term["t"], term["c"])
+        if key not in looked:
+            out = np.zeros(n, bool)
+            for name in texts:
+                code, values = block[name]
+                part = key[0] if name.endswith("t") else key[1]
+                if part or name.endswith("t"):
+                    out |= np.array([part in v for v in values], bool)[code]
+            looked[key] = out
+        return looked[key]
+
+    open_ = np.ones(n, bool)
+    for term in session["avoid"] or ():
+        open_ &= ~hit(term)
+    if session["terms"] is not None:
+        open_ &= np.logical_or.reduce([np.zeros(n, bool), *map(hit, session["terms"])])
+    if gone := set(session["excluded_signatures"] or ()):
+        open_ &= ~np.array([v in gone for v in names], bool)[shown]
+    places, ends, cls = block["places"], block["ends"], block["cls"]
+    first = places[ends[:-1]].copy()
+    out = np.flatnonzero(np.isin(block["song_id"], session["excluded_songs"] or []))
+    for c in np.unique(cls[out]):
+        rest = np.setdiff1d(places[ends[c] : ends[c + 1]], out)
+        first[c], open_[c] = (rest[0], open_[c]) if len(rest) else (first[c], False)
+    nameless = np.array([not v for v in signatures], bool)[signature]
+    some = np.flatnonzero(open_ & ~nameless)
+    some = some[np.lexsort((first[some], signature[some]))]
+    new = np.concatenate([[True], signature[some[1:]] != signature[some[:-1]]])[: len(some)]
+    every = [places[ends[c] : ends[c + 1]] for c in np.flatnonzero(open_ & nameless)]  # songs without a signature aren't repeats
+    at = np.concatenate([first[some[new]], *[np.setdiff1d(x, out) for x in every]])
+    a = artist[cls[at]]
+    order = np.lexsort((at, a))
+    at, a = at[order], a[order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+    nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) + 1
+    kept = (nth <= cap) | np.array([not v for v in artists], bool)[a]
+    return at[kept], nth[kept]
+
+
 def joined(values: Column) -> Column:
     return F.array_join(values.cast("array<string>"), ",")
