@@ -7,9 +7,8 @@ Events (session_id, seq, ts, event, song_id, artist, signature, terms, avoid, ex
 - ``liked``, ``saved`` and ``request_similar`` add a seed, in order of first sight;
 - ``hide_track`` and ``skipped`` exclude a song, ``hide_artist`` adds an artist to avoid.
 
-``contexts`` folds a table; ``context_stream`` keeps the same in state variables (maps for songs, signatures and terms, a
-value for the last request), so that a batch touches the entries it names only, and a timer drops the state of a session
-that has been idle for ``idle_ms`` of event time. Both give CONTEXT rows; a stream gives one for every touched session.
+``contexts`` folds a table; ``context_stream`` keeps the same in a state variable, which a batch reads and writes once for each
+session that it touches, and a timer drops the state of a session that has been idle for ``idle_ms`` of event time. Both give CONTEXT rows; a stream gives one for every touched session.
 """
 
 from __future__ import annotations
@@ -61,64 +60,67 @@ def contexts(events: DataFrame) -> DataFrame:
 
 
 class _Session(StatefulProcessor):
-    """Maps from a value to the place of its first sight, and the last request."""
+    """A session's state as one value: for each kind of entry the values and the places of their first sight, the last request, the timer.
+
+    Every call of a state variable goes to the JVM and back. A touched session's context is given whole, so all its entries
+    are read anyway: one call reads them and one writes them, whatever the number of rows.
+    """
 
     MAPS = {"hidden": "long", "seen": "long", "seeds": "long", "signatures": "string", "avoid": "string", "artists": "string"}
+    STATE = "seq long, timer long, request_seq long, terms array<string>, exclude_seen boolean, " + ", ".join(f"{n} array<{kind}>, {n}_seq array<long>, {n}_at array<int>" for n, kind in MAPS.items())
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.maps = {n: handle.getMapState(n, f"v {kind}", "seq long, at int") for n, kind in self.MAPS.items()}
-        self.request = handle.getValueState("request", "seq long, terms array<string>, exclude_seen boolean")
-        self.newest = handle.getValueState("newest", "seq long")
-
-    def _note(self, name: str, value, seq: int, at: int = 0) -> None:
-        if value is not None:
-            known = self.maps[name].getValue((value,))
-            if known is None or (seq, at) < tuple(known):
-                self.maps[name].updateValue((value,), (seq, at))
-
-    def _ordered(self, name: str) -> list:
-        return [v for _, v in sorted((tuple(place), value[0]) for value, place in self.maps[name].iterator())]
-
-    def _context(self, session_id: int, seq: int) -> Row:
-        last = self.request.get() if self.request.exists() else None
-        avoid, artists = self._ordered("avoid"), self._ordered("artists")
-        hidden = set(self._ordered("hidden")) | (set(self._ordered("seen")) if last and last[2] else set())
-        return Row(
-            session_id=session_id, seq=seq, preference_terms=list(last[1]) if last else [], exclude_terms=avoid + [a for a in artists if a not in avoid],
-            excluded_songs=sorted(hidden), excluded_signatures=sorted(self._ordered("signatures")), seed_songs=self._ordered("seeds"),
-        )
+        self.state = handle.getValueState("session", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
-        seq, latest = self.newest.get()[0] if self.newest.exists() else -1, None
+        old = self.state.get()
+        seq, timer, request_seq, terms, exclude_seen = tuple(old)[:5] if old else (-1, None, None, [], False)
+        maps: dict[str, dict] = {n: {} for n in self.MAPS}
+        if old:
+            for i, n in enumerate(self.MAPS):
+                maps[n] = {v: (s, at) for v, s, at in zip(*tuple(old)[5 + 3 * i : 8 + 3 * i])}
+
+        def note(name: str, value, seq: int, at: int = 0) -> None:
+            if value is not None and (value not in maps[name] or (seq, at) < maps[name][value]):
+                maps[name][value] = (seq, at)
+
+        latest = None
         for r in rows:
             seq, latest = max(seq, r.seq), r.ts if latest is None else max(latest, r.ts)
             if r.event == "request":
-                if not self.request.exists() or self.request.get()[0] <= r.seq:
-                    self.request.update((r.seq, list(r.terms), r.exclude_seen))
+                if request_seq is None or request_seq <= r.seq:
+                    request_seq, terms, exclude_seen = r.seq, list(r.terms), r.exclude_seen
                 for at, term in enumerate(r.avoid):
-                    self._note("avoid", term, r.seq, at)
+                    note("avoid", term, r.seq, at)
             elif r.event == "shown":
-                self._note("seen", r.song_id, r.seq)
-                self._note("signatures", r.signature, r.seq)
+                note("seen", r.song_id, r.seq)
+                note("signatures", r.signature, r.seq)
             elif r.event in SEEDS:
-                self._note("seeds", r.song_id, r.seq)
+                note("seeds", r.song_id, r.seq)
             elif r.event in HIDES:
-                self._note("hidden", r.song_id, r.seq)
+                note("hidden", r.song_id, r.seq)
             elif r.event == "hide_artist":
-                self._note("artists", r.artist, r.seq)
-        self.newest.update((seq,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
-        yield self._context(key[0], seq)
+                note("artists", r.artist, r.seq)
+        due = int(latest.timestamp() * 1000) + self.idle_ms
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if timer != due:
+            self.handle.registerTimer(due)
+        columns = [x for m in maps.values() for x in (list(m), [p[0] for p in m.values()], [p[1] for p in m.values()])]
+        self.state.update((seq, due, request_seq, list(terms or []), exclude_seen, *columns))
+        ordered = lambda n: sorted(maps[n], key=maps[n].get)
+        avoid = ordered("avoid")
+        yield Row(
+            session_id=key[0], seq=seq, preference_terms=list(terms or []), exclude_terms=avoid + [a for a in ordered("artists") if a not in maps["avoid"]],
+            excluded_songs=sorted({*maps["hidden"], *(maps["seen"] if exclude_seen else ())}), excluded_signatures=sorted(maps["signatures"]), seed_songs=ordered("seeds"),
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N803
-        for state in (*self.maps.values(), self.request, self.newest):
-            state.clear()
+        self.state.clear()
         return iter(())
 
     def close(self) -> None:
