@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from melisma.functions import constants as K
 from melisma.operators.feedback import preference_labels
+from melisma.session import written
 
 BUCKETS = 64
 COLLECTED = "user_id long, song_id long, first_order long"
 SUMS = "user_id long, kind string, key string, s long, first struct<first_order: long, song_id: long, label: string>"
+#: Classes (some 200 bytes each) of which the labels may be broadcast.
+MOST_CLASSES = 200_000
 #: The folder of the tables as they were before the first batch.
 BASE = -1
 
@@ -28,7 +31,11 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 
 class Preferences:
     def __init__(self, spark: SparkSession, path: str, songs: DataFrame, tags: DataFrame):
-        self.spark, self.path, self.labels = spark, path.rstrip("/"), preference_labels(songs, tags)
+        self.spark, self.path = spark, path.rstrip("/")
+        labels = preference_labels(songs, tags).groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("kind", "key", "label", "w"))).alias("labels"))
+        classes = written(labels.groupBy("labels").agg(F.min("song_id").alias("class"), F.collect_list("song_id").alias("songs")), "label-classes")
+        self.classes, self.labels = classes.select("class", F.explode("songs").alias("song_id")), classes.select("class", "labels")
+        self.few = self.labels.count() <= MOST_CLASSES
 
     def _write(self, rows: DataFrame, table: str, batch: int) -> None:
         _bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/batch={batch}")
@@ -38,7 +45,9 @@ class Preferences:
         return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def _sums(self, collected: DataFrame) -> DataFrame:
-        met = collected.join(self.labels, "song_id")
+        # Songs with equal labels are one class. Its labels are met where a user's songs are together: they are never shuffled.
+        mine = collected.join(self.classes, "song_id").repartition("user_id")
+        met = mine.join(F.broadcast(self.labels) if self.few else self.labels, "class").select("user_id", "song_id", "first_order", F.inline("labels"))
         return met.groupBy("user_id", "kind", "key").agg(F.sum("w").cast("long").alias("s"), F.min(F.struct("first_order", "song_id", "label")).alias("first"))
 
     def begin(self, collection: DataFrame) -> None:
@@ -68,7 +77,7 @@ class Preferences:
     def compact(self, path: str) -> Preferences:
         """The same tables with one batch, at another path; readers change over when it is whole."""
         out = Preferences.__new__(Preferences)
-        out.spark, out.path, out.labels = self.spark, path.rstrip("/"), self.labels
+        out.spark, out.path, out.classes, out.labels, out.few = self.spark, path.rstrip("/"), self.classes, self.labels, self.few
         out._write(self._read("collected", COLLECTED).select("user_id", "song_id", "first_order"), "collected", BASE)
         sums = self._read("sums", SUMS).groupBy("user_id", "kind", "key").agg(F.sum("s").alias("s"), F.min("first").alias("first"))
         out._write(sums, "sums", BASE)
